@@ -1,0 +1,30 @@
+import numpy as np
+from pyspark.sql import functions as F
+
+from postingflow.llm import exact_dedup as op
+
+
+def test_filter_has_no_false_negative():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 7, 100, 5000, 60000):
+        keys = rng.integers(0, 2**64, n, dtype=np.uint64)
+        blob = op.fuse_build(np.concatenate([keys, keys[: n // 2]]))
+        assert op.fuse_contains(blob, keys).all()
+        other = rng.integers(0, 2**64, 20000, dtype=np.uint64)
+        assert op.fuse_contains(blob, other).mean() < 0.02
+        if n >= 5000:
+            assert len(blob) < 1.5 * n
+
+
+def test_edges(spark):
+    rows = [(1, "a", 0), (2, "a", 0), (3, "b", 0), (4, "b", 1), (5, None, 1), (6, None, 1), (7, "", 1), (8, "", 2), (None, "a", 2), (9, "c", 2), (9, "c", 2), (10, "x" * 300000, 0), (11, "x" * 300000, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, b int").withColumn("h", F.lit(1)).withColumn("keep_id", F.lit("clash")).withColumn("shard", F.lit(0))
+    got = sorted(((r.doc_id, r.keep_id, r.is_duplicate) for r in op.exact_dedup(df, F.col("b")).collect()), key=repr)
+    want = [(1, 1, False), (2, 1, True), (3, 3, False), (4, 3, True), (5, 5, False), (6, 6, False), (7, 7, False), (8, 7, True), (None, 1, True), (9, 9, False), (9, 9, True), (10, 10, False), (11, 10, True)]
+    assert got == sorted(want, key=repr)
+    assert op.exact_dedup(df.limit(0), F.col("b")).count() == 0
+    assert op.arrival(df.limit(0)) is not None
+
+
+def test_sql(same):
+    same(op.query, op.SQL)
