@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup
+from . import exact_dedup, jaccard_join, line_dedup, toxicity
 
 QUERIES = {
+    "op5_toxicity": toxicity.query,
     "op6_line_dedup": line_dedup.query,
+    "op8_jaccard_join": jaccard_join.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 

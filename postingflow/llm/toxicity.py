@@ -23,8 +23,8 @@ from ._spark import table
 
 THRESHOLD = 1.0
 SAMPLE = 20_000  # labelled documents that the lexicon is learned from, at most
-MIN_CONTEXTS = 6  # different contexts in toxic documents that a learned word needs
-MIN_PRECISION = 0.93
+MIN_CONTEXTS = 3  # different contexts in toxic documents that a learned word needs
+MIN_PRECISION = 0.95
 STEM = range(4, 8)  # letters of a learned stem
 STEM_WORDS, STEM_BOUND = 5, 0.9  # words that a stem needs, and the lower bound of its precision
 
