@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postingflow.llm import line_dedup
-from postingflow.llm._spark import shared_dir
+from postingflow.llm import jaccard_join, line_dedup, packing, toxicity
+from postingflow.llm._spark import table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose clauses score below the threshold; the lexicon is learned from the table of labels."""
+    out = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
+    return out.where(~F.col("toxic")).select(docs.columns)
+
+
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated three-line windows; documents of which nothing is left go."""
     out = line_dedup.line_dedup(docs)
@@ -20,15 +24,24 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return out.where(~changed | (F.col("text") != "")).withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
-STAGES = [("line dedup", drop_repeated_lines)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of connected near copies; all others stay."""
+    gone = jaccard_join.groups(docs).where("node <> label").select(F.col("node").alias("doc_id"))
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes: doc_id, piece, start, length, bin, offset."""
+    return packing.pack(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("line dedup", drop_repeated_lines), ("n-gram Jaccard join", drop_near_copies), ("best-fit packing", pack_bins)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
-        docs = spark.read.parquet(f"{base}/{k}")
+    docs = table(spark, sf_dir, "documents").select(COLUMNS)
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
     return docs
 
 

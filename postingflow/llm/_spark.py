@@ -26,6 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """URI of a new folder in the shared folder, for files that tasks write; removed when the application ends."""
+    base = shared_dir(spark)
+    base = base if "://" in base else "file://" + base.removeprefix("file:")
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: later reads don't depend on any executor's local files.
 
