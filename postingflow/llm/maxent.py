@@ -200,7 +200,7 @@ def train(docs: DataFrame, *, text_col: str = "text", rounds: int = ROUNDS, rate
         spread = spark.sparkContext.broadcast(model)
         part = texts.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k)
         sums = part.mapInArrow(_gradients(spread), "part int, block int, n bigint, at binary, g binary").groupBy("part", "block").applyInArrow(_add, "part int, block int, n bigint, g binary")
-        for r in sums.toLocalIterator():
+        for r in sums.collect():  # of the model's size
             weights, square = (model.up, model.down)[r.part], squares[r.part]
             rows = slice(r.block * BLOCK, (r.block + 1) * BLOCK)
             # the sum over the corpus, not the mean over rows: rare features learn as fast as frequent ones by AdaGrad
