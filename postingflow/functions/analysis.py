@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LETTERS = r"\p{L}+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -30,7 +31,10 @@ def letter_gaps(text: Column) -> Column:
     return F.coalesce(F.split(text, LETTERS, -1), F.array(F.lit("")))
 
 
-@F.arrow_udf("struct<starts: array<bigint>, lengths: array<bigint>>")
+_RANGES = T.StructType([T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("lengths", T.ArrayType(T.LongType()))])
+
+
+@F.arrow_udf(_RANGES)
 def _byte_ranges(tokens: pa.Array, gaps: pa.Array) -> pa.Array:
     size = lambda a: (pc.binary_length(a.flatten()).to_numpy(zero_copy_only=False).astype(np.int64), a.offsets.to_numpy().astype(np.int64))
     (t, t_at), (g, g_at) = size(tokens), size(gaps)
