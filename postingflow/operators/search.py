@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.compile import HITS, compile_expr
+from ..plans.compile import HITS, evaluate
 from ..plans.query import Expr, Not, Term, leaves, parse_query
 from .index import Index
 
@@ -26,7 +26,9 @@ def perform_search(index: Index, expr: Expr, *, strict: bool = False) -> DataFra
     if isinstance(expr, Term):  # nothing to bring together
         return found.select("doc_id", F.transform("positions", lambda p: F.struct(p.cast("long").alias("pos"), F.lit(1).cast("long").alias("len"))).alias("hits"))
     by_doc = found.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("m"))
-    return by_doc.select("doc_id", compile_expr(expr, F.col("m")).alias("hits")).where("hits is not null")
+    # the filter stays where the hits are: pushed down, it would hold and compute the whole tree a second time
+    here = F.when(F.monotonically_increasing_id() >= 0, F.col("hits"))
+    return evaluate(by_doc, expr, "m").select("doc_id", here.alias("hits")).where("hits is not null")
 
 
 def search(index: Index, text: str) -> DataFrame:

@@ -1 +1 @@
-"""Queries: their language, their expression trees, and how a tree becomes one column expression."""
+"""Queries: their language, their expression trees, and how a tree becomes columns."""

@@ -1,4 +1,4 @@
-"""An expression tree as one column expression over a document's map from term to positions.
+"""An expression tree as columns over a document's map from term to positions.
 
 Every node is an ARRAY<STRUCT<pos, len>>, in the order in which its hits come; null means that the document doesn't
 match. Postings are shuffled once, by document, whatever the tree's depth.
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .query import Adjacent, And, Expr, Near, Not, Or, Term
@@ -38,7 +38,9 @@ def _merge(parts: list[Column], sorted_: list[bool]) -> Column:
     """
 
     def keyed(part: Column, slot: int, ascending: bool) -> Column:
-        own = lambda h, i: h["pos"] if ascending else F.array_max(F.transform(F.slice(part, 1, i + 1), lambda x: x["pos"]))
+        def own(h: Column, i: Column) -> Column:
+            return h["pos"] if ascending else F.array_max(F.transform(F.slice(part, 1, i + 1), lambda x: x["pos"]))
+
         return F.transform(part, lambda h, i: F.struct(own(h, i).alias("key"), F.lit(slot).alias("slot"), i.alias("i"), h["pos"].alias("pos"), h["len"].alias("len")))
 
     every = F.concat(*[keyed(p, k, s) for k, (p, s) in enumerate(zip(parts, sorted_))])
@@ -86,11 +88,10 @@ def _near(parts: list[Column], distance: int) -> Column:
     return F.when(whole, _let(F.array(*parts), walk))
 
 
-def compile_expr(expr: Expr, positions: Column) -> Column:
-    """``positions`` is MAP<term, ARRAY<position>> of one document."""
+def _node(expr: Expr, parts: list[Column], positions: Column) -> Column:
+    """The hits of one node, from those of its children."""
     if isinstance(expr, Term):
         return F.transform(F.try_element_at(positions, F.lit(expr.term)), lambda p: _hit(p, F.lit(1)))
-    parts = [compile_expr(c, positions) for c in expr.children]
     ascending = [in_order(c) for c in expr.children]
     every = parts[0].isNotNull()
     for p in parts[1:]:
@@ -98,11 +99,9 @@ def compile_expr(expr: Expr, positions: Column) -> Column:
     if isinstance(expr, And):
         return F.when(every, _merge(parts, ascending))
     if isinstance(expr, Or):
-        present = [F.coalesce(p, F.array().cast(HITS)) for p in parts]
-        return _or_null(_merge(present, ascending))
+        return _or_null(_merge([F.coalesce(p, F.array().cast(HITS)) for p in parts], ascending))
     if isinstance(expr, Adjacent):
-        fits = lambda h: _all(F.exists(p, lambda x, k=k: x["pos"] == h["pos"] + k) for k, p in enumerate(parts[1:], 1))
-        return F.when(every, _or_null(F.transform(F.filter(parts[0], fits), lambda h: _hit(h["pos"], F.lit(len(parts))))))
+        return F.when(every, _or_null(F.transform(F.filter(parts[0], lambda h: _follow(h, parts[1:])), lambda h: _hit(h["pos"], F.lit(len(parts))))))
     if isinstance(expr, Near):
         return _near(parts, expr.distance)
     if isinstance(expr, Not):
@@ -110,8 +109,35 @@ def compile_expr(expr: Expr, positions: Column) -> Column:
     raise TypeError(expr)
 
 
-def _all(conditions) -> Column:
+def _follow(first: Column, parts: list[Column]) -> Column:
+    """Whether every further operand has a hit at its place behind the first."""
+
+    def at(part: Column, place: Column) -> Column:
+        return F.exists(part, lambda h: h["pos"] == place)
+
     out = F.lit(True)
-    for c in conditions:
-        out = out & c
+    for k, part in enumerate(parts, 1):
+        out = out & at(part, first["pos"] + k)
     return out
+
+
+def evaluate(docs: DataFrame, expr: Expr, positions: str) -> DataFrame:
+    """``docs`` with ``hits``: its column ``positions`` is MAP<term, ARRAY<position>>.
+
+    Nodes become columns level by level, from the leaves up, equal ones once; a node's children are columns that are
+    there, so none is computed twice and no expression is deeper than one node.
+    """
+    height: dict[Expr, int] = {}
+
+    def visit(e: Expr) -> int:
+        if e not in height:
+            height[e] = 1 + max((visit(c) for c in e.children), default=-1)
+        return height[e]
+
+    visit(expr)
+    name = {e: f"__n{k}" for k, e in enumerate(height)}
+    kept = docs.columns
+    for level in range(height[expr] + 1):
+        new = [_node(e, [F.col(name[c]) for c in e.children], F.col(positions)).alias(name[e]) for e, h in height.items() if h == level]
+        docs = docs.select("*", *new)
+    return docs.select(*kept, F.col(name[expr]).alias("hits"))
