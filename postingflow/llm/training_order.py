@@ -1,15 +1,16 @@
 """Token sequences in training order: fixed-stride shards whose order is a keyed permutation of all sequences.
 
-1. Documents become token ids, cut into sequences of ``stride`` ids; the last one of a document is padded. Sequences are
-   numbered in the order of the written table: first number of the part that holds them, plus their place in it.
+1. Documents become token ids, each followed by the end id; a task's documents are one stream, cut into sequences of
+   ``stride`` ids, so that only a task's last sequence is padded. Sequences are numbered by task and place in it. One
+   pass counts them, a second one cuts them; that is less to store than the tokens, and words are encoded only once.
 2. A Feistel network over the next even power of two, keyed by the seed, maps numbers to slots; a number that falls
    outside goes round again (cycle walking), so slots are a permutation of 0..n-1 without a table or a sort of it.
 3. Slots are divided in shards of ``per_shard`` sequences. One range partition holds whole shards, sorted by slot, and
    writes each as one file of ``per_shard * stride`` ids. Slot s is at byte ``(s % per_shard) * stride * 2`` of shard
    ``s // per_shard``, so a reader resumes at any step with one seek.
 
-Files are written under another name and then renamed, and their content depends on nothing but the table of
-sequences, so that a task that runs twice leaves the same file.
+Files are written under another name and then renamed, and their content depends on nothing but the input and the seed,
+so that a task that runs twice leaves the same file.
 """
 
 from __future__ import annotations
@@ -19,13 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._bytes import mix
+from ._bytes import flat, mix, slices
 from ._spark import shared_folder, table, written
+from .pieces import _gather
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -35,6 +39,11 @@ PER_SHARD = 1 << 14
 SEED = 20240611
 ROUNDS = 6
 BYTES = 2  # of an id
+SLICE = 8 << 20
+#: Blanks that may not begin a token, and white space that Arrow's regular expressions don't know.
+ODD = r"^ | $|  |\s \s|[\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+DOCS = "array<struct<doc_id: bigint, start: bigint, at: int, length: int>>"
+INDEX = f"slot bigint, shard bigint, offset bigint, n_tokens int, docs {DOCS}"
 
 
 def feistel(numbers: np.ndarray, n: int, seed: int = SEED) -> np.ndarray:
@@ -61,46 +70,125 @@ def load_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _sequences(ranks: dict[bytes, int], stride: int, end: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Tokens:
+    """Encodes batches of texts; every different word of a batch is encoded once, and ids are gathered by numpy."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
         import tiktoken
 
-        encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        part, place = TaskContext.get().partitionId(), 0
+        self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.blank = np.zeros(max(ranks.values(), default=0) + 1, bool)
+        self.blank[[i for t, i in ranks.items() if t.startswith(b" ")]] = True
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.encoding.encode_ordinary(text), np.uint16)
+
+    def batch(self, texts: pa.Array, count: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of all rows; to ``count``, offsets alone. A blank between two other characters that aren't white space begins a token
+        whatever stands before, so the words between blanks are encoded by themselves; rows with other blanks are not.
+        """
+        texts = texts.fill_null("").cast(pa.large_string())
+        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
+        lists = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
+        at = lists.offsets.to_numpy().astype(np.int64)
+        words = pc.dictionary_encode(lists.flatten())
+        codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        own = words.dictionary
+        # words without white space at their ends: one call for all, cut where a token begins with a blank
+        edge = pc.match_substring_regex(own, r"^$|^\s|\s$").to_numpy(zero_copy_only=False)
+        plain, others = np.flatnonzero(~edge), np.flatnonzero(edge)
+        ids = self.encode("".join([" " + w for w in own.take(pa.array(plain)).to_pylist()]))
+        begin = np.flatnonzero(self.blank[ids])
+        if len(begin) != len(plain):
+            raise RuntimeError("a token spans words")
+        # a row's first word has no blank before it: such words are numbered apart
+        some = at[:-1][np.diff(at) > 0]
+        firsts, where = np.unique(codes[some], return_inverse=True)
+        single = [*(self.encode(" " + w if w else "") for w in own.take(pa.array(others)).to_pylist()), *(self.encode(w) for w in own.take(pa.array(firsts)).to_pylist())]
+        begin = np.concatenate([begin, len(ids) + np.cumsum([0, *(len(x) for x in single)])]).astype(np.int64)
+        number = np.empty(len(own), np.int64)
+        number[plain], number[others] = np.arange(len(plain)), len(plain) + np.arange(len(others))
+        codes = number[codes]
+        codes[some] = len(own) + where
+        if count:
+            offs = np.concatenate([[0], np.cumsum(np.diff(begin)[codes])]).astype(np.int64)[at]
+            size = np.diff(offs)
+            size[odd] = [len(self.encode(x)) for x in texts.filter(pa.array(odd)).to_pylist()]
+            return ids[:0], np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        ids, upto = _gather(np.concatenate([ids, *single]), begin, codes)
+        offs = upto[at]
+        if odd.any():
+            rows = [self.encode(texts[k].as_py()) if o else ids[offs[k] : offs[k + 1]] for k, o in enumerate(odd)]
+            offs = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+            ids = np.concatenate([*rows, np.zeros(0, np.uint16)])
+        return ids, offs
+
+
+def _streams(batches: Iterator[pa.RecordBatch], tokens: Tokens, end: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """By slices: ids of documents that have text, their tokens with an end after each, and where each ends."""
+    for batch in batches:
+        texts = batch.column(1)
+        _, size = flat(texts)
+        for i, j in slices(size, SLICE):
+            ids, offs = tokens.batch(texts.slice(i, j - i))
+            some = np.flatnonzero(np.diff(offs) > 0)
+            ends = offs[1:][some]
+            yield batch.column(0).slice(i, j - i).take(pa.array(some)), np.insert(ids, ends, end), ends + np.arange(1, len(some) + 1)
+
+
+def _counter(ranks: dict[bytes, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, n = Tokens(ranks), 0
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
-                rows, piece, used, data = [], [], [], []
-                for k, text in enumerate(texts[at : at + 256]):
-                    if not text:
-                        continue
-                    tokens = np.array(encoding.encode_ordinary(text) + [end], np.uint16)
-                    n = -(-len(tokens) // stride)
-                    rows += [at + k] * n
-                    piece += range(n)
-                    used += [min(stride, len(tokens) - p * stride) for p in range(n)]
-                    data += [tokens[p * stride : (p + 1) * stride].tobytes() for p in range(n)]
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(used, pa.int32()), pa.array([part] * len(rows), pa.int32()), pa.array(np.arange(place, place + len(rows))), pa.array(data, pa.binary())],
-                    ["doc_id", "piece", "n_tokens", "part", "place", "data"],
-                )
-                place += len(rows)
+            texts = batch.column(0)
+            for i, j in slices(flat(texts)[1], SLICE):
+                size = np.diff(tokens.batch(texts.slice(i, j - i), count=True)[1])
+                n += int(size.sum()) + int((size > 0).sum())  # an end id for each
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], ["part", "n"])
 
     return run
 
 
-def sequences(docs: DataFrame, ranks: dict[bytes, int], *, id_col: str = "doc_id", text_col: str = "text", stride: int = STRIDE, end: int = END) -> DataFrame:
-    """(doc_id, piece, n_tokens, part, place, data): little-endian 16-bit ids without padding. Null and empty texts have none."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_sequences(ranks, stride, end), "doc_id bigint, piece int, n_tokens int, part int, place bigint, data binary")
-
+def _cutter(ranks: dict[bytes, int], counts: dict[int, int], stride: int, per_shard: int, end: int, seed: int):
+    first, total = {}, 0
+    for part in sorted(counts):
+        first[part], total = total, total - (-counts[part] // stride)
 
-def _placed(first: dict[int, int], n: int, seed: int, per_shard: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts = np.zeros(max(first, default=0) + 1, np.int64)
-        starts[list(first)] = list(first.values())
-        for batch in batches:
-            slot = feistel(starts[batch.column("part").to_numpy()] + batch.column("place").to_numpy(), n, seed)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("piece"), batch.column("n_tokens"), batch.column("data"), pa.array(slot), pa.array(slot // per_shard)], ["doc_id", "piece", "n_tokens", "data", "slot", "shard"])
+        part = TaskContext.get().partitionId()
+        pack = zstandard.ZstdCompressor(level=3)
+        number, seen = first.get(part, 0), 0
+        # what is left of the stream, and the documents in it: id, where it begins (before the rest, if negative), ends
+        rest, names, begin, stop = np.zeros(0, np.uint16), pa.array([], pa.int64()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def cut(n: int) -> pa.RecordBatch:
+            low = np.arange(n) * stride
+            high = np.minimum(low + stride, len(rest))
+            a, b = np.searchsorted(stop, low, side="right"), np.searchsorted(begin, high, side="left")
+            at = np.concatenate([[0], np.cumsum(b - a)])
+            doc = np.repeat(a - at[:-1], b - a) + np.arange(at[-1])
+            lows, highs = np.repeat(low, b - a), np.repeat(high, b - a)
+            start = np.maximum(begin[doc], lows)
+            spans = pa.StructArray.from_arrays([names.take(pa.array(doc)), pa.array(start - begin[doc]), pa.array((start - lows).astype(np.int32)), pa.array((np.minimum(stop[doc], highs) - start).astype(np.int32))], ["doc_id", "start", "at", "length"])
+            slot = feistel(np.arange(number, number + n), total, seed)
+            data = [pack.compress(rest[x:y].tobytes()) for x, y in zip(low.tolist(), high.tolist())]
+            return pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // per_shard), pa.array((high - low).astype(np.int32)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), spans), pa.array(data, pa.binary())], ["slot", "shard", "n_tokens", "docs", "data"])
+
+        for ids, tokens, ends in _streams(batches, Tokens(ranks), end):
+            seen += len(tokens)
+            names = pa.concat_arrays([names, ids])
+            begin = np.concatenate([begin, len(rest) + np.concatenate([[0], ends[:-1]])[: len(ends)]]).astype(np.int64)
+            stop = np.concatenate([stop, len(rest) + ends]).astype(np.int64)
+            rest = np.concatenate([rest, tokens])
+            if n := len(rest) // stride:
+                yield cut(n)
+                number, rest = number + n, rest[n * stride :]
+                left = int(np.searchsorted(stop, n * stride, side="right"))
+                names, begin, stop = names.slice(left), begin[left:] - n * stride, stop[left:] - n * stride
+        if len(rest):
+            yield cut(1)
+        if seen != counts.get(part, 0):
+            raise RuntimeError(f"task {part} read {seen} tokens and counted {counts.get(part, 0)}: write the input as a table first")
 
     return run
 
@@ -109,7 +197,7 @@ def _writer(folder: str, stride: int, per_shard: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = pafs.FileSystem.from_uri(folder)
         files.create_dir(base, recursive=True)
-        attempt = TaskContext.get().taskAttemptId()
+        attempt, unpack = TaskContext.get().taskAttemptId(), zstandard.ZstdDecompressor()
         now, out, temporary = None, None, ""
 
         def close() -> None:
@@ -118,15 +206,15 @@ def _writer(folder: str, stride: int, per_shard: int, end: int):
                 files.move(temporary, f"{base}/shard-{now:07d}.bin")
 
         for batch in batches:
-            for shard, slot, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "slot", "data"))):
+            for shard, data in zip(batch.column("shard").to_pylist(), batch.column("data").to_pylist()):
                 if shard != now:
                     close()
                     now, temporary = shard, f"{base}/_{attempt}-{shard}"
                     out = files.open_output_stream(temporary, compression=None)
-                ids = np.full(stride, end, "<u2")
-                ids[: len(data) // BYTES] = np.frombuffer(data, "<u2")
-                out.write(ids.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("piece"), batch.column("n_tokens"), batch.column("slot"), batch.column("shard"), pa.array((batch.column("slot").to_numpy() % per_shard) * (stride * BYTES))], ["doc_id", "piece", "n_tokens", "slot", "shard", "offset"])
+                ids = unpack.decompress(data)
+                out.write(ids + np.full(stride - len(ids) // BYTES, end, "<u2").tobytes())
+            offset = pa.array((batch.column("slot").to_numpy() % per_shard) * (stride * BYTES))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("slot", "shard")), offset, *(batch.column(c) for c in ("n_tokens", "docs"))], ["slot", "shard", "offset", "n_tokens", "docs"])
         close()
 
     return run
@@ -135,21 +223,23 @@ def _writer(folder: str, stride: int, per_shard: int, end: int):
 def materialise(docs: DataFrame, ranks: dict[bytes, int], folder: str, *, id_col: str = "doc_id", text_col: str = "text", stride: int = STRIDE, per_shard: int = PER_SHARD, seed: int = SEED, end: int = END) -> DataFrame:
     """Writes the shards to ``folder`` (a URI that all executors reach) and returns their index as a written table.
 
-    ``(doc_id, piece, n_tokens, slot, shard, offset)``, one row per sequence. Every token of every text is in one
-    sequence, followed by the end id. Rows without text have no sequence; rows that repeat an id or a text are sequences
-    of their own, null ids too. Other columns are ignored. An empty table writes no shard and gives an empty index.
+    ``(slot, shard, offset, n_tokens, docs)``, one row per sequence; ``docs`` says which tokens of which documents it
+    holds, in order: (doc_id, start in the document, at in the sequence, length). Every token of every text, and the end
+    id after it, is in one sequence. Null and empty texts are in none; rows that repeat an id or a text are documents of
+    their own, null ids too. Other columns are ignored. An empty table writes no shard and gives an empty index.
+
+    ``docs`` is read twice and has to give the same rows in the same partitions, as a table does; a task that finds
+    anything else fails.
     """
-    held = written(sequences(docs, ranks, id_col=id_col, text_col=text_col, stride=stride, end=end), "sequences")
-    counts = {r.part: r.n for r in held.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per task of the scan
-    first, n = {}, 0
-    for part in sorted(counts):
-        first[part], n = n, n + counts[part]
-    placed = held.mapInArrow(_placed(first, n, seed, per_shard), "doc_id bigint, piece int, n_tokens int, data binary, slot bigint, shard bigint")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    counts = {r.part: r.n for r in rows.select("text").mapInArrow(_counter(ranks), "part int, n bigint").collect()}  # a row per task
+    n = sum(-(-c // stride) for c in counts.values())
     shards = max(1, -(-n // per_shard))
+    cut = rows.mapInArrow(_cutter(ranks, counts, stride, per_shard, end, seed), f"slot bigint, shard bigint, n_tokens int, docs {DOCS}, data binary")
     # shards are equal and their slots known, so the ranges need no sample
     ranges = min(shards, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    placed = placed.withColumn("range", F.floor(F.col("shard") * ranges / shards).cast("int"))
-    return written(placed.repartitionById(ranges, "range").sortWithinPartitions("slot").drop("range").mapInArrow(_writer(folder, stride, per_shard, end), "doc_id bigint, piece int, n_tokens int, slot bigint, shard bigint, offset bigint"), "shard-index")
+    placed = cut.withColumn("range", F.floor(F.col("shard") * ranges / shards).cast("int"))
+    return written(placed.repartitionById(ranges, "range").sortWithinPartitions("slot").drop("range").mapInArrow(_writer(folder, stride, per_shard, end), INDEX), "shard-index")
 
 
 def read_slots(folder: str, begin: int, stop: int, *, stride: int = STRIDE, per_shard: int = PER_SHARD) -> Iterator[np.ndarray]:
@@ -193,4 +283,4 @@ def query(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> Dat
     """The index of all documents' shards, with a digest of each sequence as it is read back from its place."""
     folder = shared_folder(spark, "order")
     index = materialise(table(spark, sf_dir, "documents"), load_ranks(vocabulary), folder)
-    return index.mapInArrow(_checker(folder, STRIDE), "doc_id bigint, piece int, n_tokens int, slot bigint, shard bigint, offset bigint, digest bigint")
+    return index.mapInArrow(_checker(folder, STRIDE), INDEX + ", digest bigint")

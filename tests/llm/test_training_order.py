@@ -1,4 +1,7 @@
+import random
+
 import numpy as np
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -34,12 +37,25 @@ def test_query_and_resume(spark):
     tail = list(op.read_slots(folder, 690, 720, stride=256, per_shard=700))
     assert len(tail) == 30 and all((x == y).all() for x, y in zip(tail, data[690:720]))
     got = {}
-    for r in sorted(index, key=lambda r: (r.doc_id, r.piece)):
-        got.setdefault(r.doc_id, []).extend(data[r.slot][: r.n_tokens].tolist())
-        assert (data[r.slot][r.n_tokens :] == op.END).all()
-    assert got == {i: enc.encode_ordinary(t) + [op.END] for i, t in text.items()}
+    for r in index:
+        assert (data[r.slot][r.n_tokens :] == op.END).all() and sum(d.length for d in r.docs) == r.n_tokens
+        for d in r.docs:
+            got.setdefault(d.doc_id, []).append((d.start, data[r.slot][d.at : d.at + d.length].tolist()))
+    whole = {i: [x for _, part in sorted(parts) for x in part] for i, parts in got.items()}
+    assert whole == {i: enc.encode_ordinary(t) + [op.END] for i, t in text.items()}
+    assert sum(r.n_tokens < 256 for r in index) <= docs.rdd.getNumPartitions()
     rows = op.query(spark, SF).collect()
-    assert sum(r.n_tokens for r in rows) == sum(map(len, got.values()))
+    assert sum(r.n_tokens for r in rows) == sum(map(len, whole.values()))
+
+
+def test_words_equal_whole_texts():
+    rng = random.Random(12)
+    tokens = op.Tokens(op.load_ranks())
+    alphabet = ["a", "The", "ing", "é", "1", "23", "'s", ".", ",", " ", " ", " ", "\n", "\t", "\r", "\x0b", "\u00a0", "\u3000", "\u2028", "\x1c", "🎉", "梦", "—", "<|endoftext|>"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 25))) for _ in range(6000)]
+    ids, offs = tokens.batch(pa.array([*texts, None]))
+    for k, t in enumerate(texts):
+        assert ids[offs[k] : offs[k + 1]].tolist() == tokens.encoding.encode_ordinary(t), repr(t)
 
 
 def test_edges(spark):
@@ -47,11 +63,11 @@ def test_edges(spark):
     rows = [(1, "a b"), (1, "a b"), (None, "c"), (2, None), (3, ""), (4, "w " * 5000), (5, "<|endoftext|>")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("slot", F.lit("clash")).withColumn("part", F.lit(1))
     folder = shared_folder(spark, "test-order")
-    got = op.materialise(df, ranks, folder, stride=64, per_shard=10)
-    n = got.count()
-    assert sorted(r.slot for r in got.collect()) == list(range(n))
-    assert [r.doc_id for r in got.collect()].count(1) == 2 and got.where("doc_id is null").count() == 1
-    assert got.where("doc_id in (2, 3)").count() == 0
+    got = op.materialise(df, ranks, folder, stride=64, per_shard=10).collect()
+    n = len(got)
+    assert sorted(r.slot for r in got) == list(range(n))
+    docs = [d.doc_id for r in got for d in r.docs if d.start == 0]
+    assert sorted(docs, key=str) == [1, 1, 4, 5, None]
     assert len(list(op.read_slots(folder, 0, n, stride=64, per_shard=10))) == n
     empty = shared_folder(spark, "test-order")
     assert op.materialise(df.limit(0), ranks, empty).count() == 0
