@@ -151,17 +151,16 @@ class Model:
             for g, at, d, t in ((g_up, up, p, c), (g_down, down, q, w)):
                 np.negative(d, out=d)
                 d[n, t] += 1.0
-                flat_at = at.ravel()
-                order = np.argsort(flat_at, kind="stable")
-                where = flat_at[order]
-                first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-                g[where[first]] += np.add.reduceat(d[order // FEATURES], first)
+                where = at.T.ravel()
+                columns = np.ascontiguousarray(d.T, dtype=np.float64)
+                for k, column in enumerate(columns):  # a count of weighted rows needs no sort
+                    g[:, k] += np.bincount(where, np.tile(column, FEATURES), len(g))
 
 
 def _gradients(spread):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = spread.value
-        g_up, g_down, n = np.zeros_like(model.up), np.zeros_like(model.down), 0
+        g_up, g_down, n = np.zeros((CLASSES, ROWS)).T, np.zeros((SIZE, ROWS)).T, 0
         for batch in batches:
             for _, _, h, rows in _words(batch.column(0)):
                 model.gradient(h, rows, g_up, g_down)
@@ -170,7 +169,7 @@ def _gradients(spread):
             return
         for part, g in enumerate((g_up, g_down)):
             for block in range(ROWS // BLOCK):
-                some = g[block * BLOCK : (block + 1) * BLOCK]
+                some = g[block * BLOCK : (block + 1) * BLOCK].astype(np.float32, order="C")
                 at = np.flatnonzero(some.any(1))
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([n], pa.int64()), pa.array([at.astype(np.uint16).tobytes()]), pa.array([some[at].tobytes()])], ["part", "block", "n", "at", "g"])
 
