@@ -23,6 +23,7 @@ from ._spark import table
 
 THRESHOLD = 1.0
 SAMPLE = 20_000  # labelled documents that the lexicon is learned from, at most
+ROWS = 256  # documents whose words are held at a time
 MIN_CONTEXTS = 3  # different contexts in toxic documents that a learned word needs
 MIN_PRECISION = 0.95
 STEM = range(4, 8)  # letters of a learned stem
@@ -194,7 +195,7 @@ class Scorer:
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, context, toxic) of each labelled document's different words; the context is of the word's first place."""
-    for b in batches:
+    for b in (batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS)):
         words, contexts, toxic = [], [], []
         for text, t in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
             ws = TOKEN.findall((text or "").lower())
