@@ -1,13 +1,18 @@
 """Hashed maximum-entropy language model: n-gram and skip features, class-factored softmax, distributed gradients.
 
 Outcomes are the most frequent words of the whole corpus and hash buckets for all others, CLASSES x SIZE of them in
-classes by rank. A position's features are a bias, the previous word, the previous two, and two skips; P(word) = P(class
-| features) * P(word | class, features), each a softmax over a sum of hashed weight rows, so a position costs one class
-row and one word row per feature instead of a row per outcome.
+classes by rank. A position's features are a bias, the previous word, the previous two, and two skips, all by the words
+themselves; P(outcome) = P(class | features) * P(outcome | class, features), each a softmax over a sum of hashed weight
+rows, so a position costs one class row and one outcome row per feature instead of a row per outcome. The number of
+weight rows grows with the vocabulary.
+
+A word in a bucket is scored as P(bucket | features) * P(word | bucket), the latter from the counts of all words of the
+corpus (``Words``). Those of the HEAD most frequent are known to every task; all others meet their counts by a join, so
+the vocabulary has no bound.
 
 Training passes over all documents once, in ROUNDS parts by hash of the text. In each round every task adds up its
 gradients by weight row; the sums are shuffled by blocks of rows, added, and move the weights by AdaGrad on the driver.
-Weights and sums are of the model's size, whatever the corpus is. Scoring is a map over batches.
+Weights and sums are of the model's size. Scoring is a map over batches and the join of rarer words with their counts.
 """
 
 from __future__ import annotations
@@ -20,11 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytes import WORD, flat, mix, slices, span_hashes, spans
-from ._spark import table
+from ._spark import table, written
 
 CLASSES, SIZE = 32, 32
 KNOWN = 24 * SIZE  # outcomes that are words of their own; the last 8 classes are buckets
-ROWS = 1 << 14  # weight rows per part of the model (classes; words)
+HEAD = 1 << 16  # words whose counts every task knows
+ROWS = 1 << 14  # weight rows per part of the model (classes; words), at least
+PER_ROW = 1 << 18  # different words from which on the rows grow, as the square root of their number
 BLOCK = 1 << 10  # rows that one reducer adds at a time
 ROUNDS = 4
 RATE = 0.25
@@ -67,19 +74,56 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums)], ["h", "n"])
 
 
+def counted(texts: DataFrame) -> DataFrame:
+    """(h, n): hash and count of every word of the corpus."""
+    return texts.mapInArrow(_count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+
+
 def outcomes(texts: DataFrame) -> np.ndarray:
     """Hashes of the corpus' KNOWN most frequent words (ties by hash), most frequent first; counted over all texts."""
-    counts = texts.mapInArrow(_count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-    return np.array([r.h for r in counts.orderBy(F.desc("n"), "h").limit(KNOWN).collect()], np.int64).view(np.uint64)
+    return np.array([r.h for r in counted(texts).orderBy(F.desc("n"), "h").limit(KNOWN).collect()], np.int64).view(np.uint64)
+
+
+def rows_for(words: int) -> int:
+    """Weight rows for a vocabulary: a power of two, twice as many for four times the words."""
+    rows = ROWS
+    while words > PER_ROW * (rows // ROWS) ** 2:
+        rows *= 2
+    return rows
+
+
+class Words:
+    """Counts of all words of a corpus, which give P(word | bucket) = n(word) / (n(bucket) + 1).
+
+    The rest of a bucket's probability is that of words that the corpus lacks, taken together. ``table`` is (h, n) of all
+    words; ``head`` and ``n`` are the most frequent ones by hash, ``known`` the model's own by frequency.
+    """
+
+    def __init__(self, texts: DataFrame) -> None:
+        self.table = written(counted(texts), "word-counts")
+        top = self.table.orderBy(F.desc("n"), "h").limit(HEAD).toArrow()
+        h, n = top["h"].to_numpy().astype(np.int64).view(np.uint64), top["n"].to_numpy().astype(np.int64)
+        self.known = h[:KNOWN]
+        order = np.argsort(h)
+        self.head, self.n = h[order], n[order]
+        buckets = CLASSES * SIZE - KNOWN
+        self.bucket, self.size = np.zeros(buckets, np.int64), 0
+        for r in self.table.groupBy(F.col("h").bitwiseAND(buckets - 1).alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("size")).collect():
+            self.bucket[r.b] = r.n
+            self.size += r.size
+        np.subtract.at(self.bucket, (self.known % np.uint64(buckets)).astype(np.int64), n[:KNOWN])
+
+    def tasks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.head, self.n, self.bucket
 
 
 class Model:
     """Weights of both parts: ``up`` for classes, ``down`` for words within classes; one row per hashed feature."""
 
-    def __init__(self, known: np.ndarray) -> None:
+    def __init__(self, known: np.ndarray, rows: int = ROWS) -> None:
         order = np.argsort(known)
         self.known, self.rank = known[order], order.astype(np.int32)
-        self.up, self.down = np.zeros((ROWS, CLASSES), np.float32), np.zeros((ROWS, SIZE), np.float32)
+        self.up, self.down = np.zeros((rows, CLASSES), np.float32), np.zeros((rows, SIZE), np.float32)
 
     def outcome(self, h: np.ndarray) -> np.ndarray:
         """Number of each word's outcome."""
@@ -92,28 +136,28 @@ class Model:
         return out
 
     @staticmethod
-    def features(y: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Hashes (n, FEATURES): bias, w-1, (w-2, w-1), skip w-2, skip w-3; a text begins with marks."""
-        n = len(y)
+    def features(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Hashes (n, FEATURES): bias, w-1, (w-2, w-1), skip w-2, skip w-3 by word hashes; a text begins with marks."""
+        n = len(h)
         before = []
         for k in (1, 2, 3):
             p = np.full(n, CLASSES * SIZE, np.uint64)
             if n > k:
                 same = rows[k:] == rows[:-k]
-                p[k:][same] = y[:-k][same]
+                p[k:][same] = h[:-k][same]
             before.append(p)
         a, b, c = before
         with np.errstate(over="ignore"):
             zero = np.zeros(n, np.uint64)
-            parts = [zero, a + np.uint64(1 << 20), (a << np.uint64(12)) + b + np.uint64(1 << 40), b + np.uint64(2 << 20), c + np.uint64(3 << 20)]
+            parts = [zero, a + np.uint64(1 << 20), a * np.uint64(0x9FB21C651E98DF25) + b + np.uint64(1 << 40), b + np.uint64(2 << 20), c + np.uint64(3 << 20)]
             return mix(np.stack(parts, 1) * np.uint64(0x9E3779B97F4A7C15))
 
-    @staticmethod
-    def places(f: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def places(self, f: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the class part and of the word part; the latter depend on the class."""
-        up = (f >> np.uint64(20)) & np.uint64(ROWS - 1)
+        last = np.uint64(len(self.up) - 1)
+        up = (f >> np.uint64(20)) & last
         with np.errstate(over="ignore"):
-            down = mix(f + (c.astype(np.uint64) + np.uint64(1))[:, None] * np.uint64(0xD6E8FEB86659FD93)) & np.uint64(ROWS - 1)
+            down = mix(f + (c.astype(np.uint64) + np.uint64(1))[:, None] * np.uint64(0xD6E8FEB86659FD93)) & last
         return up.astype(np.int64), down.astype(np.int64)
 
     @staticmethod
@@ -129,7 +173,7 @@ class Model:
     def steps(self, h: np.ndarray, rows: np.ndarray) -> Iterator[tuple]:
         """(range, places, probabilities, true columns) of both parts, a step of positions at a time."""
         y = self.outcome(h)
-        f = self.features(y, rows)
+        f = self.features(h, rows)
         for a in range(0, len(y), STEP):
             b = min(a + STEP, len(y))
             c, w = y[a:b] // SIZE, y[a:b] % SIZE
@@ -160,7 +204,8 @@ class Model:
 def _gradients(spread):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = spread.value
-        g_up, g_down, n = np.zeros((CLASSES, ROWS)).T, np.zeros((SIZE, ROWS)).T, 0
+        size = len(model.up)
+        g_up, g_down, n = np.zeros((CLASSES, size)).T, np.zeros((SIZE, size)).T, 0
         for batch in batches:
             for _, _, h, rows in _words(batch.column(0)):
                 model.gradient(h, rows, g_up, g_down)
@@ -168,7 +213,7 @@ def _gradients(spread):
         if not n:
             return
         for part, g in enumerate((g_up, g_down)):
-            for block in range(ROWS // BLOCK):
+            for block in range(size // BLOCK):
                 some = g[block * BLOCK : (block + 1) * BLOCK].astype(np.float32, order="C")
                 at = np.flatnonzero(some.any(1))
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([n], pa.int64()), pa.array([at.astype(np.uint16).tobytes()]), pa.array([some[at].tobytes()])], ["part", "block", "n", "at", "g"])
@@ -188,16 +233,21 @@ def _add(key: tuple, groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([n], pa.int64()), pa.array([total.astype(np.float32).tobytes()])], ["part", "block", "n", "g"])
 
 
-def train(docs: DataFrame, *, text_col: str = "text", rounds: int = ROUNDS, rate: float = RATE) -> Model:
+def lowered(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    return docs.select(F.lower(F.col(text_col)).alias("text")).where("text is not null")
+
+
+def train(docs: DataFrame, *, text_col: str = "text", rounds: int = ROUNDS, rate: float = RATE, words: Words | None = None) -> Model:
     """A model of all texts: every text gives its gradient once. Null, empty and wordless texts give nothing; without any
-    word all outcomes stay equally likely."""
+    word all outcomes stay equally likely. With ``words``, counted before, the model's size follows their number."""
     spark = docs.sparkSession
-    texts = docs.select(F.lower(F.col(text_col)).alias("text")).where("text is not null")
-    model = Model(outcomes(texts))
+    texts = lowered(docs, text_col)
+    model = Model(outcomes(texts)) if words is None else Model(words.known, rows_for(words.size))
     squares = [np.zeros_like(model.up), np.zeros_like(model.down)]
     for k in range(rounds):
         spread = spark.sparkContext.broadcast(model)
         part = texts.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k)
+        part = part.coalesce(2 * spark.sparkContext.defaultParallelism)  # every task sends sums of the model's size
         sums = part.mapInArrow(_gradients(spread), "part int, block int, n bigint, at binary, g binary").groupBy("part", "block").applyInArrow(_add, "part int, block int, n bigint, g binary")
         for r in sums.collect():  # of the model's size
             weights, square = (model.up, model.down)[r.part], squares[r.part]
@@ -210,31 +260,88 @@ def train(docs: DataFrame, *, text_col: str = "text", rounds: int = ROUNDS, rate
     return model
 
 
-def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, *, text_col: str = "text", words: Words | None = None) -> DataFrame:
     """``docs`` with ``lm_words`` (bigint), ``lm_logprob`` (sum of natural logs) and ``lm_perplexity``; they replace
     columns so named.
 
-    Null, empty and wordless texts have 0 words, log probability 0 and null perplexity. Rows are scored one by one, whole
-    texts at a time, so ties, repeated rows and null ids change nothing; an empty table gives an empty table.
+    With ``words`` the probabilities are of words; without, of outcomes, that is of buckets for all but the model's own
+    words. Null, empty and wordless texts have 0 words, log probability 0 and null perplexity. Rows are scored one by
+    one, whole texts at a time, so ties, repeated rows and null ids change nothing; an empty table gives an empty table.
     """
-    spread = docs.sparkSession.sparkContext.broadcast(model)
+    spread = docs.sparkSession.sparkContext.broadcast((model, words.tasks() if words is not None else None))
 
     def run(texts: pa.Array) -> pa.Array:
-        count, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        model, counts = spread.value
+        n_words, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
         for i, n, h, rows in _words(texts):
-            logs = spread.value.score(h, rows)
-            count[i : i + n] = np.bincount(rows, minlength=n)
+            logs = model.score(h, rows)
+            if counts is not None:
+                logs += within(model, counts, h)[0]
+            n_words[i : i + n] = np.bincount(rows, minlength=n)
             total[i : i + n] = np.bincount(rows, logs, n)
-        some = count > 0
-        perplexity = np.exp(np.minimum(-total / np.maximum(count, 1), 700))
-        return pa.StructArray.from_arrays([pa.array(count), pa.array(np.round(total, 3)), pa.array(np.round(perplexity, 3), mask=~some)], ["n", "logprob", "perplexity"])
+        return pa.StructArray.from_arrays([pa.array(n_words), pa.array(total)], ["n", "logprob"])
+
+    new = ["lm_words", "lm_logprob", "lm_perplexity"]
+    udf = F.arrow_udf(run, "n bigint, logprob double").asNondeterministic()  # so that a filter doesn't run it twice
+    low = F.lower(F.col(text_col))
+    kept = [c for c in docs.columns if c not in new]
+    if words is None:
+        scored = docs.select(*kept, udf(low).alias("__lm")).withColumn("__rare", F.lit(0.0))
+    else:
+        rare = rare_words(docs, spread, words, text_col)
+        scored = docs.select(*kept, udf(low).alias("__lm"), F.xxhash64(low).alias("__key")).join(rare, "__key", "left").drop("__key")
+    n, logprob = F.col("__lm.n"), F.col("__lm.logprob") + F.coalesce("__rare", F.lit(0.0))
+    perplexity = F.when(n > 0, F.round(F.exp(F.least(-logprob / n, F.lit(700.0))), 3))
+    return scored.select(*kept, n.alias(new[0]), F.round(logprob, 3).alias(new[1]), perplexity.alias(new[2]))
+
+
+def within(model: Model, counts: tuple, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log P(word | bucket), as far as it is known here, and which words are in buckets but not in the head; of these
+    only the bucket's part is in the sum, and the logarithm of their count is missing."""
+    head, n, bucket = counts
+    y = model.outcome(h)
+    out = np.zeros(len(h))
+    inside = y >= KNOWN
+    out[inside] = -np.log(bucket[y[inside] - KNOWN] + 1.0)
+    rare = inside
+    if len(head):
+        at = np.minimum(np.searchsorted(head, h), len(head) - 1)
+        hit = head[at] == h
+        own = inside & hit
+        out[own] += np.log(n[at[own]])
+        rare = inside & ~hit
+    return out, rare
+
+
+def rare_words(docs: DataFrame, spread, words: Words, text_col: str) -> DataFrame:
+    """(__key, __rare): sum of the log counts of a text's words outside the head, by the text's hash.
+
+    A word that the corpus lacks counts as one. Copies of a text have the same key; each of them states its words, and
+    its part of ``copies``.
+    """
 
-    new = {"lm_words": "n", "lm_logprob": "logprob", "lm_perplexity": "perplexity"}
-    udf = F.arrow_udf(run, "n bigint, logprob double, perplexity double").asNondeterministic()  # so that a filter doesn't run it twice
-    scored = docs.select(*[c for c in docs.columns if c not in new], udf(F.lower(F.col(text_col))).alias("__lm"))
-    return scored.select("*", *[F.col(f"__lm.{v}").alias(k) for k, v in new.items()]).drop("__lm")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, counts = spread.value
+        for batch in batches:
+            keys = batch.column(1).to_numpy()
+            for i, n, h, rows in _words(batch.column(0)):
+                rare = within(model, counts, h)[1]
+                row, h = rows[rare].astype(np.int64), h[rare]
+                _, at, times = np.unique(h ^ mix(row.astype(np.uint64)), return_index=True, return_counts=True)
+                row, h = row[at], h[at]
+                first = np.zeros(len(row), np.int32)
+                first[np.unique(row, return_index=True)[1]] = 1
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i + row]), pa.array(h.view(np.int64)), pa.array(times.astype(np.int32)), pa.array(first)], ["key", "h", "times", "copies"])
+
+    low = F.lower(F.col(text_col))
+    said = docs.select(low.alias("text"), F.xxhash64(low).alias("key")).where("text is not null").mapInArrow(run, "key bigint, h bigint, times int, copies int")
+    # words that occur once in the corpus have log count 0, as have those that it lacks
+    met = said.join(words.table.where("n > 1").withColumnRenamed("n", "count"), "h", "left")
+    by_text = met.groupBy(F.col("key").alias("__key")).agg(F.sum(F.col("times") * F.log(F.coalesce("count", F.lit(1)).cast("double"))).alias("s"), F.sum("copies").alias("copies"))
+    return by_text.select("__key", (F.col("s") / F.col("copies")).alias("__rare"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score(docs, train(docs)).drop("text")
+    words = Words(lowered(docs))
+    return score(docs, train(docs, words=words), words=words).drop("text")

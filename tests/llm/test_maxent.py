@@ -103,3 +103,40 @@ def test_edges(spark):
     assert by[1][0] == by[1][1] == by[None][0] and by[1][0][0] == 3 and by[1][0][1] < 0
     assert by[5][0][0] == 100000
     assert op.score(df.limit(0), op.train(df.limit(0))).count() == 0
+
+
+def test_words_in_buckets_have_probabilities_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(op, "HEAD", 900)  # the rest meets its counts by the join
+    rng = np.random.default_rng(4)
+    vocabulary = [f"v{k}" for k in range(3000)]
+    share = 1 / np.arange(3, 3003)
+    rows = [(k, " ".join(rng.choice(vocabulary, 200, p=share / share.sum()))) for k in range(150)]
+    rows += [(1000, rows[0][1]), (None, rows[0][1]), (1001, None), (1002, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    words = op.Words(op.lowered(df))
+    model = op.train(df, words=words)
+    got = {r.doc_id: (r.lm_words, r.lm_logprob) for r in op.score(df, model, words=words).collect()}
+    count = {}
+    for _, t in rows:
+        for w in (t or "").split():
+            count[w] = count.get(w, 0) + 1
+    assert words.size == len(count) > 1500
+    hashes = dict(zip(count, next(op._words(pa.array([" ".join(count)])))[2]))
+    y = dict(zip(count, model.outcome(np.array(list(hashes.values())))))
+    total = {}
+    for w, n in count.items():
+        total[y[w]] = total.get(y[w], 0) + n
+    plain = {r.doc_id: r.lm_logprob for r in op.score(df, model).collect()}
+    for i, t in rows:
+        extra = sum(np.log(count[w] / (total[y[w]] + 1)) for w in (t or "").split() if y[w] >= op.KNOWN)
+        assert abs(got[i][1] - plain[i] - extra) < 0.01, i
+    assert got[0] == got[1000] == got[None] and got[1001] == got[1002] == (0, 0.0)
+
+
+def test_rows_and_contexts_follow_the_words():
+    assert op.rows_for(1000) == op.ROWS and op.rows_for(4 * op.PER_ROW) == 2 * op.ROWS and op.rows_for(5 * op.PER_ROW) == 4 * op.ROWS
+    m = op.Model(np.arange(1, op.KNOWN + 1, dtype=np.uint64))
+    a, b = np.uint64(1 << 40), np.uint64((1 << 40) + 256)  # two words of one bucket
+    assert m.outcome(np.array([a]))[0] == m.outcome(np.array([b]))[0]
+    f = [op.Model.features(np.array([w, 1], np.uint64), np.zeros(2, np.int64))[1] for w in (a, b)]
+    assert f[0][1] != f[1][1]
