@@ -74,3 +74,10 @@ def test_held_out_accuracy(spark):
     n = {(r.toxic, r.said): r["count"] for r in labels.where(~half).join(got, "doc_id").groupBy("toxic", "said").count().collect()}
     assert n[1, True] / (n[1, True] + n.get((1, False), 0)) > 0.85, n
     assert n.get((0, True), 0) / (n[0, False] + n.get((0, True), 0)) < 0.01, n
+
+
+def test_reported_and_negated_clauses_do_not_add_up():
+    s = op.Scorer()
+    assert s("Someone said idiot. Someone said moron.")[:2] == (0.5, 2)
+    assert s("No idiot. " * 4)[:2] == (0.3, 4)
+    assert s("Someone said idiot. What a moron.")[:2] == (1.5, 2)
