@@ -2,7 +2,7 @@
 
 Words become classes (insult, threat verb, target, negation, reported speech, other); four transducers rewrite the
 classes of a clause - reported speech marks what follows it, negation marks the next few words, threats need a verb and
-then its target, targets mark insults near them - and a weighted acceptor adds up what is left. The machines are composed
+a target after it or an object before or in it, targets mark insults near them - and a weighted acceptor adds up what is left. The machines are composed
 into one table when the module loads, so a clause costs one lookup a word.
 
 The method differs from one that scores matched clauses only: an insult without a target counts too, and clauses add up
@@ -39,15 +39,20 @@ idiota imbécil estúpido estúpida tonto basura escoria payaso patético cabró
 abruti connard crétin ordure imbécile débile minable raclure salaud
 trottel dummkopf arschloch abschaum versager dreckskerl schwachkopf idioten""".split()
 THREATS = """kill murder hurt strangle stab shoot burn hang destroy beat slaughter
-matar matarte matarlos golpearte tuer tuerai égorger frapper töten umbringen erwürgen abstechen""".split()
+matar mataré golpear tuer tuerai égorger frapper töten umbringen erwürgen abstechen""".split()
 TARGETS = """you your yourself u he she him her they them their these those people everyone
 tú usted ustedes vosotros ellos ellas tu toi vous ils elles leur du dich euch ihr sie ihn""".split()
+# Objects before a threat verb: these may stand some words before it, and are targets anywhere
+OBJECTS = "dich euch ihn te os".split()
+FORMAL = "vous sie ihr".split()  # may be subjects: objects right before the verb only, and targets anywhere
+ARTICLES = "le la les lo los las".split()  # objects right before the verb, and else nothing
+ENCLITIC = [v + o for v in ("matar", "golpear") for o in "te os lo la le los las les".split()] + ["t'égorger", "l'égorger"]  # verb and target in one
 NEGATIONS = "not no never isn't aren't wasn't don't doesn't didn't nicht kein keine nie pas jamais nunca jamás ningún".split()
 REPORTS = """said says say told wrote claimed quoted reported called alleged " “ ” « » sagte sagt behauptete schrieb
 dit écrit déclaré dijo dice escribió""".split()
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-CLASSES = {w: c for c, ws in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS), (INSULT, INSULTS)) for w in ws}
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, OBJECT, CLITIC, ARTICLE, AIMED = range(10)
+CLASSES = {w: c for c, ws in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS), (INSULT, INSULTS), (OBJECT, OBJECTS), (CLITIC, FORMAL), (ARTICLE, ARTICLES), (AIMED, ENCLITIC)) for w in ws}
 NEAR = 4  # words that a negation or a threat reaches
 TOKEN = re.compile(r"[\w']+|[\"“”«»]")
 BREAK = re.compile(r"[.!?;\n]")
@@ -91,25 +96,30 @@ def _reported(state, symbol):
     kind, marks = symbol
     if kind == REPORT:
         return 1, (OTHER, marks)
-    return state, (kind, marks + ("reported",) if state and kind in (INSULT, THREAT) else marks)
+    return state, (kind, marks + ("reported",) if state and kind in (INSULT, THREAT, AIMED) else marks)
 
 
 def _negated(state, symbol):
     kind, marks = symbol
     if kind == NEGATION:
         return NEAR, (OTHER, marks)
-    return max(0, state - 1), (kind, marks + ("negated",) if state and kind in (INSULT, THREAT) else marks)
+    return max(0, state - 1), (kind, marks + ("negated",) if state and kind in (INSULT, THREAT, AIMED) else marks)
 
 
 def _threat(state, symbol):
-    """A threat verb with a target among the next words leaves a threat at the target."""
+    """A threat verb with a target among the next words leaves a threat at the target; one after an object, or that
+    holds its object, leaves it at the verb."""
     kind, marks = symbol
+    left, held, reach = state
+    if kind == AIMED or kind == THREAT and reach:
+        return (0, (), 0), (THREAT, marks)
     if kind == THREAT:
-        return (NEAR, marks), (OTHER, ())
-    left, held = state
-    if left and kind == TARGET:
-        return (0, ()), (THREAT, held)
-    return ((left - 1, held) if left > 1 else (0, ())), symbol
+        return (NEAR, marks, 0), (OTHER, ())
+    if left and kind in (TARGET, OBJECT, CLITIC):
+        return (0, (), 0), (THREAT, held)
+    reach = {OBJECT: NEAR, CLITIC: max(1, reach - 1), ARTICLE: max(1, reach - 1)}.get(kind, max(0, reach - 1))
+    out = {OBJECT: TARGET, CLITIC: TARGET, ARTICLE: OTHER}.get(kind, kind)
+    return ((left - 1, held, reach) if left > 1 else (0, (), reach)), (out, marks)
 
 
 def _target(state, symbol):
@@ -133,9 +143,9 @@ def _score(state, symbol):
     return state, (weight, "+".join((("insult" if kind == INSULT else "threat"), *marks)) if weight else "")
 
 
-PARTS = [Transducer(0, _reported), Transducer(0, _negated), Transducer((0, ()), _threat), Transducer(0, _target), Transducer(0, _score)]
+PARTS = [Transducer(0, _reported), Transducer(0, _negated), Transducer((0, (), 0), _threat), Transducer(0, _target), Transducer(0, _score)]
 GRAMMAR = PARTS[0] @ PARTS[1] @ PARTS[2] @ PARTS[3] @ PARTS[4]
-NEXT, OUT = GRAMMAR.table([(c, ()) for c in range(6)])
+NEXT, OUT = GRAMMAR.table([(c, ()) for c in range(10)])
 
 
 def clause_score(classes: Iterable[int], weights: Sequence[float] | None = None) -> tuple[float, list[str]]:
@@ -160,7 +170,7 @@ class Scorer:
         self.lexicon = {w: (INSULT, x) for w, x in (words or {}).items()} | {w: (c, 1.0) for w, c in CLASSES.items()}
         self.stems = {w: (INSULT, x) for w, x in (stems or {}).items()}
         self.seek = ahocorasick.Automaton()
-        for w in [*(w for w, (c, _) in self.lexicon.items() if c in (INSULT, THREAT)), *self.stems]:
+        for w in [*(w for w, (c, _) in self.lexicon.items() if c in (INSULT, THREAT, AIMED)), *self.stems]:
             self.seek.add_word(w, len(w))
         self.seek.make_automaton()
 

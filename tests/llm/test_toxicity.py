@@ -81,3 +81,12 @@ def test_reported_and_negated_clauses_do_not_add_up():
     assert s("Someone said idiot. Someone said moron.")[:2] == (0.5, 2)
     assert s("No idiot. " * 4)[:2] == (0.3, 4)
     assert s("Someone said idiot. What a moron.")[:2] == (1.5, 2)
+
+
+def test_threats_of_each_language():
+    s = op.Scorer()
+    for text in ("I will kill you", "ich werde dich töten", "ich will euch alle umbringen", "ich werde sie töten", "je vais te tuer", "je vais vous tuer", "il faut les tuer", "je vais t'égorger", "voy a matarte", "te voy a matar", "os voy a golpear", "voy a golpearlos"):
+        assert s(text) == (2.0, 1, "threat"), text
+    assert s("no voy a matarte")[0] == 0.6 and s("dijo: te voy a matar")[0] == 1.0
+    for text in ("you can kill the process", "tuer le temps", "les jours passent sans tuer", "voy a matar el tiempo", "vous allez tuer le temps", "der Plan will Zeit töten"):
+        assert s(text)[0] == 0.0, text
