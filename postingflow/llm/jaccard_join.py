@@ -3,7 +3,8 @@
 1. Every text is sketched: minima of independent hashes over its n-grams, grouped in bands. Bands and rows are chosen so
    that a pair at the threshold meets in some band with the wanted probability, with as few rows as keep chance
    meetings rare.
-2. Texts with the same words in the same order collapse to their smallest id before anything else, however many they are.
+2. Texts with the same words in the same order collapse to their smallest id before anything else, however many they are;
+   ``every`` puts all ids back into the pairs at the end.
 3. Only (band hash, id) pairs are shuffled to find buckets; a bucket links its members to its smallest id, so it costs
    its size, not its square.
 4. Linked texts meet once in the cell of their connected component, where each pair that shares a band is verified on
@@ -129,10 +130,11 @@ def _pairs(cells: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _verify(texts: pa.Array, ids: np.ndarray, cell: np.ndarray, block: np.ndarray, low: np.ndarray, high: np.ndarray, n: int, bands: int, rows: int, threshold: float):
-    """(a, b, jaccard) of the verified pairs of the cells; a cell of two blocks pairs only across them."""
+    """(a, b, jaccard, ka, kb) of the verified pairs of the cells, with the sequence keys of their texts; a cell of two blocks pairs only across them."""
     sets: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(ids)
-    h = np.zeros((len(ids), bands), np.uint64)
-    for i, k, g, at, _ in grams(texts, n):
+    h, keys = np.zeros((len(ids), bands), np.uint64), np.zeros(len(ids), np.int64)
+    for i, k, g, at, seq in grams(texts, n):
+        keys[i : i + k] = seq.view(np.int64)
         some, hs = sketch(g, at, bands, rows)
         h[i + some] = hs
         for r in range(k):
@@ -161,7 +163,8 @@ def _verify(texts: pa.Array, ids: np.ndarray, cell: np.ndarray, block: np.ndarra
             ok = j >= threshold
             if ok.any():
                 a, b = np.full(int(ok.sum()), ids[x[begin]]), ids[some[ok]]
-                yield np.minimum(a, b), np.maximum(a, b), j[ok]
+                ka, kb = np.full(len(a), keys[x[begin]]), keys[some[ok]]
+                yield np.minimum(a, b), np.maximum(a, b), j[ok], np.where(a < b, ka, kb), np.where(a < b, kb, ka)
 
 
 def _verifier(n: int, bands: int, rows: int, threshold: float):
@@ -171,8 +174,8 @@ def _verifier(n: int, bands: int, rows: int, threshold: float):
         label, low, high = num("label"), num("low"), num("high")
         new = np.ones(len(label), bool)
         new[1:] = (np.diff(label) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)
-        for a, b, j in _verify(t["text"].combine_chunks(), num("id"), np.cumsum(new), num("block"), low, high, n, bands, rows, threshold):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(j)], ["a", "b", "jaccard"])
+        for found in _verify(t["text"].combine_chunks(), num("id"), np.cumsum(new), num("block"), low, high, n, bands, rows, threshold):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", "jaccard", "ka", "kb"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows come sorted by cell; what may go on in the next batch waits for it."""
@@ -198,12 +201,12 @@ def _verifier(n: int, bands: int, rows: int, threshold: float):
     return run
 
 
-def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, every: bool = False) -> DataFrame:
     """``(doc_id_a, doc_id_b, jaccard)`` with a < b: pairs of rows whose n-gram sets are at least ``threshold`` alike.
 
-    Words are runs of letters and digits, in lower case. Texts with the same words in the same order are stated as pairs
-    of the smallest id with each other id (similarity 1), and take part in other pairs by the smallest id; all pairs of
-    texts that differ are stated. Approximate: a pair at the threshold is found with probability ``recall``, more alike
+    Words are runs of letters and digits, in lower case. With ``every``, every pair of ids is stated. Without, texts with
+    the same words in the same order are stated as pairs of the smallest id with each other id (similarity 1), and take
+    part in other pairs by the smallest id, which is enough for groups; all pairs of texts that differ are stated. Approximate: a pair at the threshold is found with probability ``recall``, more alike
     ones with more; a stated similarity is exact. Rows with a null id, null text or without words have no partner; rows
     that repeat an id are never a pair with themselves. Other columns are ignored; an empty table gives no pair.
     """
@@ -225,7 +228,18 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cut.select("id", "text", "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     key = ["label", "low", "high"]
-    met = cells.repartition(*key).sortWithinPartitions(*key).mapInArrow(_verifier(n, bands, rows, threshold), "a bigint, b bigint, jaccard double")
+    met = cells.repartition(*key).sortWithinPartitions(*key).mapInArrow(_verifier(n, bands, rows, threshold), "a bigint, b bigint, jaccard double, ka bigint, kb bigint")
+    if every:
+        members = written(sketches.select("id", "k", "size").join(reps.select("k", "size", "rep"), ["k", "size"]).select("k", "size", "rep", "id").distinct(), "sketch-members")
+        copies = members.alias("x").join(members.select("k", "size", F.col("id").alias("other")), ["k", "size"]).where("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"), F.lit(1.0).alias("jaccard"))
+        # ids that stand for others; a pair's end that doesn't is left as it is
+        side = lambda end: members.where("id <> rep").groupBy(F.col("k").alias(f"k{end}"), F.col("rep").alias(end)).agg(F.collect_set("id").alias(f"ids_{end}"))
+        ids = lambda end: F.explode(F.concat(F.array(end), F.coalesce(f"ids_{end}", F.array().cast("array<bigint>"))))
+        met = met.join(side("a"), ["ka", "a"], "left").join(side("b"), ["kb", "b"], "left")
+        met = met.select(ids("a").alias("a"), "b", "ids_b", "jaccard").select("a", ids("b").alias("b"), "jaccard").where("a <> b")
+        met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard")
+    else:
+        met = met.select("a", "b", "jaccard")
     both = met.unionByName(copies).groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
     return both.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), "jaccard")
 
@@ -237,4 +251,4 @@ def groups(docs: DataFrame, **kw) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard_join(table(spark, sf_dir, "documents"), every=True)

@@ -91,3 +91,19 @@ def test_components(spark):
     got = {r.node: r.label for r in components(df).collect()}
     want = {k: v for k, v in closed(pairs).items() if k in got}
     assert got == want and len(got) > 1000
+
+
+def test_every_pair_of_copies(spark):
+    rows = [(k, "a b c d e") for k in (1, 2, 3, 4)] + [(k, "a b c d e f") for k in (5, 6, 7)] + [(3, "q r s t u v"), (12, "q r s t u v w"), (13, "Q r s t u v"), (13, "Q r s t u v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id_a, r.doc_id_b): r.jaccard for r in op.jaccard_join(df, every=True).collect()}
+    assert got == brute(rows) and len(got) > 20
+
+
+def test_recall_of_all_pairs(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    rows = op.query(spark, SF).collect()
+    got = {(r.doc_id_a, r.doc_id_b): r.jaccard for r in rows}
+    assert len(rows) == len(got) and all(abs(want[k] - v) < 1e-12 for k, v in got.items())
+    assert len(got) / len(want) >= 0.9
