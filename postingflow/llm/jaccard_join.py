@@ -1,25 +1,25 @@
 """Near-duplicate join: Jaccard similarity of word n-gram sets, found by MinHash banding and verified exactly.
 
-1. Every text is sketched: minima of independent hashes over its n-grams, grouped in bands. Bands and rows are chosen so
-   that a pair at the threshold meets in some band with the wanted probability, with as few rows as keep chance
-   meetings rare.
-2. Texts with the same words in the same order collapse to their smallest id before anything else, however many they are;
-   ``every`` puts all ids back into the pairs at the end.
-3. Only (band hash, id) pairs are shuffled to find buckets; a bucket links its members to its smallest id, so it costs
-   its size, not its square.
-4. Linked texts meet once in the cell of their connected component, where each pair that shares a band is verified on
-   the full n-gram sets. A component too large for a task is cut into blocks and every pair of blocks is a cell.
+1. Texts with the same words in the same order are one class, however many rows have it; all that follows is by class.
+2. Every class is sketched: minima of independent hashes over its n-grams, grouped in bands. Bands and rows are chosen so
+   that a pair at the threshold meets in some band with the wanted probability, and so that few texts meet by chance,
+   however many there are.
+3. (band hash, class) pairs are shuffled to find buckets; of buckets with the same members one is kept. Within a bucket
+   classes are linked whose whole sketches agree about as much as the threshold asks for, so that a chance meeting ties
+   nothing together. A bucket states a spanning forest of its links, not its pairs; a large one is cut into blocks.
+4. Linked texts meet in the cell of their connected component, where each pair whose sketches are alike is verified on the
+   full n-gram sets. A component too large for a task is cut into blocks and every pair of blocks is a cell. Cells state
+   either their pairs or, per class, its number of partners and the smallest class of its group.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytes import WORD, flat, mix, slices, span_hashes, spans, windows
@@ -29,20 +29,28 @@ from ._spark import table, written
 N = 3
 THRESHOLD = 0.5
 RECALL = 0.95
-CHANCE = 1e-2  # probability at which texts of a tenth of the threshold's similarity may meet
-CELL_BYTES = 32 << 20  # text bytes of a component that one cell holds
-PAIRS_AT_ONCE = 1 << 20  # grams that are compared in one step
+UNRELATED = 20  # texts that have nothing to do with each other are at most threshold / UNRELATED alike
+MEETINGS = 8  # of those, that a text may meet in any band
+DOUBT = 3.5  # standard deviations by which a sketch may understate a similarity
+BUCKET_ROWS = 1 << 14  # classes that one cell of a bucket holds
+CELL_BYTES = 4 << 20  # text bytes of a component that one cell holds
+GRAMS_AT_ONCE = 1 << 22  # grams that are compared in one step
 
 
-def plan(threshold: float = THRESHOLD, recall: float = RECALL, chance: float = CHANCE) -> tuple[int, int]:
-    """(bands, rows): the fewest rows, and then bands for ``recall`` at ``threshold``, that meet ``chance``."""
-    for rows in range(1, 33):
+def plan(threshold: float = THRESHOLD, recall: float = RECALL, texts: int = 1) -> tuple[int, int]:
+    """(bands, rows): the fewest rows, and then bands for ``recall`` at ``threshold``, by which a text meets at most MEETINGS unrelated ones."""
+    for rows in range(4, 17):
         bands = max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))) if threshold < 1 else 1
-        if bands * (threshold / 10) ** rows <= chance:
-            return bands, rows
+        if texts * bands * (threshold / UNRELATED) ** rows <= MEETINGS:
+            break
     return bands, rows
 
 
+def least_agreement(threshold: float, minima: int) -> float:
+    """Share of equal minima below which a pair is hardly at the threshold (but for 2 in 10,000)."""
+    return threshold - DOUBT * math.sqrt(threshold * (1 - threshold) / minima)
+
+
 def grams(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """By slices of a column: first row, number of rows, gram hashes, where each row's begin, and each row's sequence key.
 
@@ -70,185 +78,282 @@ def grams(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.n
         yield i, j - i, g, np.searchsorted(grows, np.arange(j - i + 1)), seq
 
 
-def sketch(g: np.ndarray, at: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the rows that have grams, and their band hashes."""
+def sketch(g: np.ndarray, at: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the rows that have grams, their band hashes, and a byte of each of their minima."""
     some = np.flatnonzero(np.diff(at) > 0)
-    out = np.zeros((len(some), bands), np.uint64)
+    out, sig = np.zeros((len(some), bands), np.uint64), np.zeros((len(some), bands * rows), np.uint8)
     if not len(some):
-        return some, out
+        return some, out, sig
     begin = at[some]
     rng = np.random.default_rng(20240611)
+    low = (g >> np.uint64(32)).astype(np.uint32)
+    x = np.empty_like(low)
     with np.errstate(over="ignore"):
         for b in range(bands):
             h = np.full(len(some), b + 1, np.uint64)
-            for _ in range(rows):
-                a, c = rng.integers(0, 2**63, 2, dtype=np.uint64)
-                x = g * (a * np.uint64(2) + np.uint64(1))
+            for r in range(rows):
+                a, c = rng.integers(0, 2**31, 2, dtype=np.uint32)
+                np.multiply(low, a * np.uint32(2) + np.uint32(1), out=x)
                 x ^= c
-                h = mix(h ^ np.minimum.reduceat(x, begin))
+                least = np.minimum.reduceat(x, begin)
+                h = mix(h ^ least)
+                sig[:, b * rows + r] = (least * np.uint32(0x9E3779B1)) >> np.uint32(24)
             out[:, b] = h
-    return some, out
+    return some, out, sig
 
 
 def _sketcher(n: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for i, k, g, at, seq in grams(batch.column(1), n):
-                some, h = sketch(g, at, bands, rows)
-                size = np.diff(at)[some].astype(np.int64)
+            for i, k, g, at, seq in grams(batch.column(3), n):
+                some, h, sig = sketch(g, at, bands, rows)
+                place = np.full(k, -1)
+                place[some] = np.arange(len(some))
+                place = pa.array(place, mask=place < 0)
                 lists = pa.ListArray.from_arrays(np.arange(0, h.size + 1, bands, dtype=np.int32), pa.array(h.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(i, k).take(pa.array(some)), pa.array(seq[some].view(np.int64)), pa.array(size), lists], ["id", "k", "size", "bands"])
+                cols = [pa.array(seq[some].view(np.int64)), lists, pa.array(np.diff(at)[some].astype(np.int64)), _bytes(sig)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, k) for c in range(3)), *(c.take(place) for c in cols)], ["id", "r1", "r2", "k", "bands", "size", "sig"])
 
     return run
 
 
-def _pairs(cells: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Distinct pairs of rows of one cell that share a band's hash, as (first, second) with first < second."""
-    found: list[np.ndarray] = []
-    with np.errstate(over="ignore"):
-        key_of_cell = mix(cells.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    n = len(cells)
-    for b in range(h.shape[1]):
-        key = h[:, b] ^ key_of_cell
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        last = np.searchsorted(k, k, side="right")
-        reach = last - np.arange(n) - 1  # partners to the right in the same bucket
-        if not reach.any():
-            continue
-        first = np.repeat(np.arange(n), reach)
-        second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(reach) - reach, reach)
-        x, y = order[first], order[second]
-        found.append(np.unique(np.minimum(x, y) * np.int64(n) + np.maximum(x, y)))
-        if len(found) > 4:
-            found = [np.unique(np.concatenate(found))]
-    if not found:
-        return np.zeros((0, 2), np.int64)
-    both = np.unique(np.concatenate(found))
-    return np.stack([both // n, both % n], 1)
-
-
-def _verify(texts: pa.Array, ids: np.ndarray, cell: np.ndarray, block: np.ndarray, low: np.ndarray, high: np.ndarray, n: int, bands: int, rows: int, threshold: float):
-    """(a, b, jaccard, ka, kb) of the verified pairs of the cells, with the sequence keys of their texts; a cell of two blocks pairs only across them."""
-    sets: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(ids)
-    h, keys = np.zeros((len(ids), bands), np.uint64), np.zeros(len(ids), np.int64)
-    for i, k, g, at, seq in grams(texts, n):
-        keys[i : i + k] = seq.view(np.int64)
-        some, hs = sketch(g, at, bands, rows)
-        h[i + some] = hs
-        for r in range(k):
-            sets[i + r] = np.unique(g[at[r] : at[r + 1]])
-    pairs = _pairs(cell, h)
-    if not len(pairs):
-        return
-    x, y = pairs[:, 0], pairs[:, 1]
-    right = (np.minimum(block[x], block[y]) == low[x]) & (np.maximum(block[x], block[y]) == high[x]) & (ids[x] != ids[y])
-    x, y = x[right], y[right]
-    size = np.array([len(s) for s in sets], np.int64)
-    possible = np.minimum(size[x], size[y]) >= threshold * np.maximum(size[x], size[y])
-    x, y = x[possible], y[possible]
-    edges = np.flatnonzero(np.diff(x)) + 1
-    for begin, end in zip([0, *edges], [*edges, len(x)]):
-        if begin == end:
-            continue
-        own, partners = sets[x[begin]], y[begin:end]
-        step = max(1, PAIRS_AT_ONCE // max(1, int(size[partners].max())))
-        for p in range(0, len(partners), step):
-            some = partners[p : p + step]
-            other = np.concatenate([sets[q] for q in some])
-            place = np.minimum(np.searchsorted(own, other), len(own) - 1)
-            common = np.add.reduceat((own[place] == other).astype(np.int64), np.cumsum(size[some]) - size[some])
-            j = common / (len(own) + size[some] - common)
-            ok = j >= threshold
-            if ok.any():
-                a, b = np.full(int(ok.sum()), ids[x[begin]]), ids[some[ok]]
-                ka, kb = np.full(len(a), keys[x[begin]]), keys[some[ok]]
-                yield np.minimum(a, b), np.maximum(a, b), j[ok], np.where(a < b, ka, kb), np.where(a < b, kb, ka)
-
-
-def _verifier(n: int, bands: int, rows: int, threshold: float):
-    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        num = lambda c: t[c].to_numpy().astype(np.int64)
-        # cells by number: (label, low, high) in the order in which they come
-        label, low, high = num("label"), num("low"), num("high")
-        new = np.ones(len(label), bool)
-        new[1:] = (np.diff(label) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)
-        for found in _verify(t["text"].combine_chunks(), num("id"), np.cumsum(new), num("block"), low, high, n, bands, rows, threshold):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", "jaccard", "ka", "kb"])
+def _bytes(rows: np.ndarray) -> pa.Array:
+    n, m = rows.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, n * m + 1, max(m, 1), dtype=np.int32)[: n + 1].tobytes()), pa.py_buffer(rows.tobytes())])
+
+
+CELL = ("cell", "low", "high")
+
+
+def _by_cell(work: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]]):
+    """Hands rows that come sorted by cell to ``work`` in whole cells, with where each begins (and the last ends)."""
+
+    def begins(t: pa.Table) -> np.ndarray:
+        new = np.zeros(t.num_rows, bool)
+        new[0] = True
+        for c in CELL:
+            new[1:] |= np.diff(t[c].to_numpy()) != 0
+        return np.flatnonzero(new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows come sorted by cell; what may go on in the next batch waits for it."""
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            last = [batch.column(c)[batch.num_rows - 1].as_py() for c in ("label", "low", "high")]
-            keys = [batch.column(c).to_numpy() for c in ("label", "low", "high")]
-            same = (keys[0] == last[0]) & (keys[1] == last[1]) & (keys[2] == last[2])
-            cut = batch.num_rows - int(same.sum())
-            if cut:
-                yield from work(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = [batch.slice(cut)]
-            elif held and [held[0].column(c)[0].as_py() for c in ("label", "low", "high")] != last:
-                yield from work(pa.Table.from_batches(held))
-                held = [batch]
+            last = begins(pa.Table.from_batches([batch]))[-1]
+            if not last and held and any(held[-1].column(c)[0].as_py() != batch.column(c)[0].as_py() for c in CELL):
+                whole, held = held, [batch]
+            elif last:
+                whole, held = [*held, batch.slice(0, last)], [batch.slice(last)]
             else:
+                whole = []
                 held.append(batch)
+            if whole:
+                t = pa.Table.from_batches(whole)
+                yield from work(t, np.append(begins(t), t.num_rows))
         if held:
-            yield from work(pa.Table.from_batches(held))
+            t = pa.Table.from_batches(held)
+            yield from work(t, np.append(begins(t), t.num_rows))
 
     return run
 
 
-def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, every: bool = False) -> DataFrame:
+def _linker(minima: int, least: float):
+    """Spanning forests of the links within buckets."""
+
+    def work(t: pa.Table, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        k = t["k"].to_numpy()
+        sig = flat(t["sig"])[0].reshape(-1, minima)
+        pair = at[:-1][np.diff(at) == 2]
+        alike = pair[(sig[pair] == sig[pair + 1]).mean(1) >= least]
+        a, b = [k[alike]], [k[alike + 1]]
+        for begin, end in zip(at[:-1], at[1:]):
+            if end - begin < 3:
+                continue
+            rest = np.arange(begin, end)  # not reached yet
+            while len(rest):
+                todo, rest = [rest[0]], rest[1:]
+                while todo and len(rest):
+                    one = todo.pop()
+                    near = (sig[rest] == sig[one]).mean(1) >= least
+                    if near.any():
+                        found, rest = rest[near], rest[~near]
+                        a.append(np.full(len(found), k[one]))
+                        b.append(k[found])
+                        todo += found.tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    return _by_cell(work)
+
+
+def _verified(texts: pa.Array, sig: np.ndarray, at: np.ndarray, block: np.ndarray, across: np.ndarray, n: int, threshold: float, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, its partners behind it in its cell, similarities). A cell of two blocks pairs only across them."""
+    g_at, flat_g = [np.zeros(1, np.int64)], []
+    for i, k, g, begin, _ in grams(texts, n):
+        rows = np.repeat(np.arange(k), np.diff(begin))
+        order = np.lexsort((g, rows))
+        g, rows = g[order], rows[order]
+        new = np.ones(len(g), bool)
+        new[1:] = (np.diff(rows) != 0) | (g[1:] != g[:-1])
+        flat_g.append(g[new])
+        g_at.append(g_at[-1][-1] + np.cumsum(np.bincount(rows[new], minlength=k)))
+    g, upto = np.concatenate(flat_g), np.concatenate(g_at)
+    size = np.diff(upto)
+    for begin, end in zip(at[:-1], at[1:]):
+        if end - begin < 2:
+            continue
+        words, number = np.unique(g[upto[begin] : upto[end]], return_inverse=True)
+        own = np.zeros(len(words), np.int64)
+        base = upto[begin]
+        for x in range(begin, end - 1):
+            y = np.arange(x + 1, end)
+            good = np.minimum(size[x], size[y]) >= threshold * np.maximum(size[x], size[y])
+            if across[x]:
+                good &= block[y] != block[x]
+            y = y[good]
+            y = y[(sig[y] == sig[x]).mean(1) >= least]
+            if not len(y):
+                continue
+            mine = number[upto[x] - base : upto[x + 1] - base]
+            own[mine] = 1
+            found, alike = [], []
+            step = np.searchsorted(np.cumsum(size[y]), np.arange(0, int(size[y].sum()), GRAMS_AT_ONCE))
+            for p, q in zip(step, [*step[1:], len(y)]):
+                some = y[p:q]
+                if not len(some):
+                    continue
+                s = size[some]
+                first = np.cumsum(s) - s
+                place = np.repeat(upto[some] - base - first, s) + np.arange(int(s.sum()))
+                common = np.add.reduceat(own[number[place]], first)
+                j = common / (size[x] + s - common)
+                ok = j >= threshold
+                found.append(some[ok])
+                alike.append(j[ok])
+            own[mine] = 0
+            if found and sum(map(len, found)):
+                yield x, np.concatenate(found), np.concatenate(alike)
+
+
+def _verifier(n: int, minima: int, threshold: float, least: float, pairs: bool):
+    """Of each cell the verified ``pairs`` (a, b, jaccard), or by class (k, links, best, root, split)."""
+
+    def work(t: pa.Table, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        k, split = t["k"].to_numpy(), t["split"].to_numpy()
+        found = _verified(t["text"].combine_chunks(), flat(t["sig"])[0].reshape(-1, minima), at, t["block"].to_numpy(), t["low"].to_numpy() != t["high"].to_numpy(), n, threshold, least)
+        if pairs:
+            for x, y, j in found:
+                a = np.full(len(y), k[x])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(k[y]), pa.array(j)], ["a", "b", "jaccard"])
+            return
+        links, best, root = np.zeros(len(k), np.int64), np.zeros(len(k)), np.arange(len(k))
+        end = np.repeat(at[1:], np.diff(at))
+        begin = np.repeat(at[:-1], np.diff(at))
+        for x, y, j in found:
+            links[x] += len(y)
+            links[y] += 1
+            best[x] = max(best[x], j.max())
+            best[y] = np.maximum(best[y], j)
+            old = np.unique(np.append(root[y], root[x]))
+            if len(old) > 1:
+                part = root[begin[x] : end[x]]
+                part[np.isin(part, old[1:])] = old[0]
+        low = np.full(len(k), np.iinfo(np.int64).max)
+        np.minimum.at(low, root, k)
+        some = np.flatnonzero(links)
+        yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (k, links, best, low[root], split)], ["k", "links", "best", "root", "split"])
+
+    return _by_cell(work)
+
+
+def row_keys(id_col: str, text_col: str) -> list[Column]:
+    """Two hashes of a row's id and text, by which it is known."""
+    return [F.xxhash64(F.col(id_col), F.col(text_col)).alias("r1"), F.hash(F.col(text_col), F.col(id_col)).alias("r2")]
+
+
+class Join:
+    """What is computed of a table once: its sketches, and the cells in which linked texts are verified."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, recall: float) -> None:
+        self.n, self.threshold = n, threshold
+        bands, rows = plan(threshold, recall, docs.count())
+        self.minima = bands * rows
+        self.least = least_agreement(threshold, self.minima)
+        base = docs.select(F.col(id_col).cast("long").alias("id"), *row_keys(id_col, text_col), F.lower(F.col(text_col)).alias("text"))
+        self.rows = written(base.mapInArrow(_sketcher(n, bands, rows), "id bigint, r1 bigint, r2 int, k bigint, bands array<bigint>, size bigint, sig binary"), "sketches")
+        some = self.rows.where("k is not null")
+        # a text of each class, by the row that stands for it
+        own = F.struct(F.col("id").isNull().alias("none"), "id", "r1", "r2")
+        self.classes = written(some.groupBy("k").agg(F.count(F.lit(1)).alias("copies"), F.min(own).alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
+        placed = self.classes.select("k", F.explode("bands").alias("h"))
+        buckets = placed.groupBy("h").agg(F.count(F.lit(1)).alias("s"), F.bit_xor(F.xxhash64("k")).alias("of")).where("s > 1")
+        buckets = buckets.groupBy("s", "of").agg(F.min("h").alias("h"))  # those with the same members find the same
+        entries = placed.join(buckets.withColumn("blocks", F.ceil(F.col("s") / F.lit(BUCKET_ROWS)).cast("int")).select("h", "blocks"), "h")
+        cells = _blocks(entries.join(self.classes.select("k", "sig"), "k"), "h").select(*CELL, "k", "sig")
+        links = cells.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(_linker(self.minima, self.least), "a bigint, b bigint")
+        labels = components(links).select(F.col("node").alias("k"), F.col("label").alias("cell"))
+        reps = labels.join(self.classes.select("k", "rep.r1", "rep.r2", "sig"), "k")
+        # repeated rows have the text more than once
+        texts = base.join(reps.withColumnsRenamed({"r1": "q1", "r2": "q2"}), (F.col("r1") == F.col("q1")) & (F.col("r2") == F.col("q2")))
+        self.linked = written(texts.groupBy("k").agg(F.first("cell").alias("cell"), F.first("sig").alias("sig"), F.first("text").alias("text")).withColumn("bytes", F.octet_length("text").cast("long")), "linked")
+
+    def verified(self, pairs: bool) -> DataFrame:
+        sizes = self.linked.groupBy("cell").agg(F.ceil(F.sum("bytes") / F.lit(CELL_BYTES)).cast("int").alias("blocks")).where("blocks > 1")
+        cells = _blocks(self.linked.join(sizes, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), "cell")
+        kind = "a bigint, b bigint, jaccard double" if pairs else "k bigint, links bigint, best double, root bigint, split boolean"
+        rows = cells.select(*CELL, "block", "k", "sig", "text", (F.col("blocks") > 1).alias("split")).repartition(*CELL).sortWithinPartitions(*CELL)
+        return rows.mapInArrow(_verifier(self.n, self.minima, self.threshold, self.least, pairs), kind)
+
+
+def _blocks(rows: DataFrame, key: str) -> DataFrame:
+    """Rows cut in ``blocks``; each block meets itself and every other one in a cell."""
+    cut = rows.withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return cut.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other"), "cell": F.col(key)})
+
+
+def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """``(doc_id_a, doc_id_b, jaccard)`` with a < b: pairs of rows whose n-gram sets are at least ``threshold`` alike.
 
-    Words are runs of letters and digits, in lower case. With ``every``, every pair of ids is stated. Without, texts with
-    the same words in the same order are stated as pairs of the smallest id with each other id (similarity 1), and take
-    part in other pairs by the smallest id, which is enough for groups; all pairs of texts that differ are stated. Approximate: a pair at the threshold is found with probability ``recall``, more alike
-    ones with more; a stated similarity is exact. Rows with a null id, null text or without words have no partner; rows
-    that repeat an id are never a pair with themselves. Other columns are ignored; an empty table gives no pair.
+    Words are runs of letters and digits, in lower case. Rows with the same words in the same order are a class: they are
+    stated as pairs of the smallest id with each other id (similarity 1), and take part in other pairs by the smallest id;
+    no pair of different texts is left out for it. Approximate: a pair at the threshold is found with probability
+    ``recall``, more alike ones with more; a stated similarity is exact. Rows with a null id, null text or without words
+    have no partner; rows that repeat an id are never a pair with themselves. Texts are taken whole, however long. Other
+    columns are ignored, whatever their names; an empty table gives no pair.
+    """
+    known = docs.where(F.col(id_col).isNotNull())
+    join = Join(known, id_col, text_col, n, threshold, recall)
+    rep = lambda end: join.classes.select(F.col("k").alias(end), F.col("rep.id").alias(f"id_{end}"))
+    met = join.verified(pairs=True).join(rep("a"), "a").join(rep("b"), "b").select("id_a", "id_b", "jaccard")
+    copies = join.rows.select("k", "id").join(join.classes.select("k", F.col("rep.id").alias("id_a")), "k").select("id_a", F.col("id").alias("id_b"), F.lit(1.0).alias("jaccard"))
+    both = met.unionByName(copies).where("id_a <> id_b").groupBy(F.least("id_a", "id_b").alias("doc_id_a"), F.greatest("id_a", "id_b").alias("doc_id_b"))
+    return both.agg(F.max("jaccard").alias("jaccard"))
+
+
+def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """One row per input row: ``(doc_id, r1, r2, class_id, copies, links, best, kept)``.
+
+    ``class_id`` is the smallest id of the row's group of texts connected by verified pairs (null ids last), ``copies``
+    the number of rows with the same words in the same order, ``links`` the number of different texts that are verified
+    to be at least ``threshold`` alike, ``best`` the similarity of the nearest of them. ``kept`` is true for the rows
+    that stand for their group; rows that repeat both id and text are alike, and (r1, r2) know a row by those. Null texts
+    and texts without words are alone: class_id is their own id, copies 1, links 0, kept true. Recall, long texts, other
+    columns and empty tables as in ``jaccard_join``.
     """
-    bands, rows = plan(threshold, recall)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.lower(F.col(text_col)).alias("text")).where("id is not null and text is not null")
-    sketches = written(base.mapInArrow(_sketcher(n, bands, rows), "id bigint, k bigint, size bigint, bands array<bigint>"), "sketches")
-    heads = sketches.groupBy("k", "size").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
-    reps = written(heads, "sketch-heads")
-    copies = sketches.select("id", "k", "size").join(reps.select("k", "size", "rep"), ["k", "size"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard")).distinct()
-    placed = reps.select("rep", F.posexplode("bands").alias("band", "h"))
-    links = placed.select("rep", F.first("rep").over(W.partitionBy("band", "h").orderBy("rep")).alias("hub")).where("rep <> hub").distinct()
-    labels = components(links, "hub", "rep")
-    # one text per linked id: rows that repeat it with the same words are copies, with other words a text of its own
-    linked = base.join(labels.withColumnRenamed("node", "id"), "id").select("id", "label", "text", F.octet_length("text").cast("long").alias("bytes")).distinct()
-    linked = written(linked, "linked")
-    sizes = linked.groupBy("label").agg(F.ceil(F.sum("bytes") / F.lit(CELL_BYTES)).cast("int").alias("blocks")).where("blocks > 1")
-    cut = linked.join(sizes, "label", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    cut = cut.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cut.select("id", "text", "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    key = ["label", "low", "high"]
-    met = cells.repartition(*key).sortWithinPartitions(*key).mapInArrow(_verifier(n, bands, rows, threshold), "a bigint, b bigint, jaccard double, ka bigint, kb bigint")
-    if every:
-        members = written(sketches.select("id", "k", "size").join(reps.select("k", "size", "rep"), ["k", "size"]).select("k", "size", "rep", "id").distinct(), "sketch-members")
-        copies = members.alias("x").join(members.select("k", "size", F.col("id").alias("other")), ["k", "size"]).where("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"), F.lit(1.0).alias("jaccard"))
-        # ids that stand for others; a pair's end that doesn't is left as it is
-        side = lambda end: members.where("id <> rep").groupBy(F.col("k").alias(f"k{end}"), F.col("rep").alias(end)).agg(F.collect_set("id").alias(f"ids_{end}"))
-        ids = lambda end: F.explode(F.concat(F.array(end), F.coalesce(f"ids_{end}", F.array().cast("array<bigint>"))))
-        met = met.join(side("a"), ["ka", "a"], "left").join(side("b"), ["kb", "b"], "left")
-        met = met.select(ids("a").alias("a"), "b", "ids_b", "jaccard").select("a", ids("b").alias("b"), "jaccard").where("a <> b")
-        met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard")
-    else:
-        met = met.select("a", "b", "jaccard")
-    both = met.unionByName(copies).groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
-    return both.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), "jaccard")
-
-
-def groups(docs: DataFrame, **kw) -> DataFrame:
-    """(node, label): every id that has a partner, with the smallest id of its group of connected partners."""
-    pairs = written(jaccard_join(docs, **kw), "pairs")
-    return components(pairs, "doc_id_a", "doc_id_b")
+    join = Join(docs, id_col, text_col, n, threshold, recall)
+    found = written(join.verified(pairs=False), "verified")
+    groups = found.where("not split").select("k", F.col("root").alias("g")).unionByName(components(found.where("split"), "k", "root").select(F.col("node").alias("k"), F.col("label").alias("g")))
+    links = found.groupBy("k").agg(F.sum("links").alias("links"), F.max("best").alias("best")).join(groups, "k", "left")
+    known = join.classes.select("k", "copies", "rep").join(links, "k", "left").withColumn("g", F.coalesce("g", "k"))
+    firsts = known.groupBy("g").agg(F.min("rep").alias("first"))
+    by_class = known.join(firsts, "g").select("k", "first", "copies", F.coalesce("links", F.lit(0).cast("long")).alias("links"), "best")
+    rows = join.rows.where("k is not null").select("id", "r1", "r2", "k").join(by_class, "k")
+    stands = (F.col("r1") == F.col("first.r1")) & (F.col("r2") == F.col("first.r2"))
+    out = rows.select(F.col("id").alias("doc_id"), "r1", "r2", F.col("first.id").alias("class_id"), "copies", "links", "best", stands.alias("kept"))
+    alone = join.rows.where("k is null").select(F.col("id").alias("doc_id"), "r1", "r2", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("links"), F.lit(None).cast("double").alias("best"), F.lit(True).alias("kept"))
+    return out.unionByName(alone)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents"), every=True)
+    """``(doc_id, class_id, copies, links, best)`` of every document."""
+    return near_classes(table(spark, sf_dir, "documents")).drop("r1", "r2", "kept")
