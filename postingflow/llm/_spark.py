@@ -56,6 +56,25 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs`` in one struct, ``row``: what is put beside it clashes with none of them."""
+    return docs.select(F.struct(*map(quoted, docs.columns)).alias("row"))
+
+
+def of_row(name: str) -> Column:
+    return F.col("row").getField(name)
+
+
+def unpacked(rows: DataFrame, columns: list[str], new: dict[str, Column]) -> DataFrame:
+    """The packed columns again, in their order, and the new ones behind them in place of those so named, in any case."""
+    taken = {c.lower() for c in new}
+    return rows.select(*[of_row(c).alias(c) for c in columns if c.lower() not in taken], *[v.alias(c) for c, v in new.items()])
+
+
 def words_of(text: Column | str) -> Column:
     """Lower-cased words as SQL sees them: the runs of ASCII letters, digits and non-ASCII characters."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9\x{80}-\x{10ffff}]+)"), F.lit(1))

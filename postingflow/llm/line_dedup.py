@@ -9,24 +9,40 @@ Only hashes and positions are shuffled to find the windows; texts move once, to
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import table, written
+from ._spark import of_row, packed, quoted, table, written
 
 LINES = 3
 
 
-def _key(docs: DataFrame, id_col: str, text_col: str) -> dict:
-    return {"__doc": F.col(id_col), "__sum": F.xxhash64(F.col(text_col))}
+def _lines(text: Column) -> Column:
+    return F.split(text, "\n", -1)
+
+
+def _key(id_col: Column, text: Column) -> list[Column]:
+    return [id_col.alias("doc"), F.xxhash64(text).alias("sum")]
 
 
 def line_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lines: int = LINES) -> DataFrame:
-    """(__doc, __sum, pos, h, g): each window's first line number and its two hashes."""
-    split = F.split(F.col(text_col), "\n", -1)
-    base = docs.select(*(c.alias(n) for n, c in _key(docs, id_col, text_col).items()), split.alias("__lines")).where(F.size("__lines") >= lines)
-    one = lambda p: F.struct(p.alias("pos"), F.xxhash64(F.slice("__lines", p + 1, lines)).alias("h"), F.hash(F.slice("__lines", p + 1, lines)).alias("g"))
-    return base.select("__doc", "__sum", F.explode(F.transform(F.sequence(F.lit(0), F.size("__lines") - lines), one)).alias("w")).select("__doc", "__sum", "w.pos", "w.h", "w.g")
+    """(doc, sum, pos, h, g): each window's first line number and its two hashes."""
+    text = quoted(text_col)
+    base = docs.select(*_key(quoted(id_col), text), _lines(text).alias("lines")).where(F.size("lines") >= lines)
+    one = lambda p: F.struct(p.alias("pos"), F.xxhash64(F.slice("lines", p + 1, lines)).alias("h"), F.hash(F.slice("lines", p + 1, lines)).alias("g"))
+    return base.select("doc", "sum", F.explode(F.transform(F.sequence(F.lit(0), F.size("lines") - lines), one)).alias("w")).select("doc", "sum", "w.pos", "w.h", "w.g")
+
+
+def _uncovered(text: Column, pos: Column, lines: int) -> Column:
+    """The lines that no window from ascending positions ``pos`` covers: the runs between one window's end and the next one's start."""
+
+    def run(all_: Column, i: Column) -> Column:
+        begin = F.when(i == 0, 0).otherwise(F.get(pos, i - 1) + lines)
+        end = F.coalesce(F.get(pos, i), F.size(all_))
+        return F.slice(all_, begin + 1, F.greatest(end - begin, F.lit(0)))
+
+    whole = lambda all_: F.flatten(F.transform(F.sequence(F.lit(0), F.size(pos)), lambda i: run(all_, i)))
+    return F.element_at(F.transform(F.array(_lines(text)), whole), 1)  # so that the text is split once
 
 
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lines: int = LINES) -> DataFrame:
@@ -34,17 +50,24 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     Occurrences are ordered by (id, null ids first; text hash; line). Rows that repeat both id and text count as one
     document and are treated alike. Texts of fewer than three lines and null texts have no window and stay as they are;
-    a text of which every line is covered becomes empty. Empty lines count as lines. Empty tables give empty tables.
+    a text of which every line is covered becomes empty. Empty lines count as lines. A text of any length is cleaned in
+    time in proportion to its lines. Columns of any name stay as they are. Empty tables give empty tables.
     """
     found = written(line_windows(docs, id_col=id_col, text_col=text_col, lines=lines), "line-windows")
-    place = F.struct("__doc", "__sum", "pos")
+    place = F.struct("doc", "sum", "pos")
     repeated = found.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
-    later = found.join(repeated, ["h", "g"]).where(place != F.col("first")).groupBy("__doc", "__sum").agg(F.collect_set("pos").alias("__pos"))
-    covered = later.select(F.col("__doc").alias("__doc2"), F.col("__sum").alias("__sum2"), F.array_distinct(F.flatten(F.transform("__pos", lambda p: F.sequence(p, p + lines - 1)))).alias("__cover"))
-    keep = F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.array_contains("__cover", i))
-    joined = docs.withColumns(_key(docs, id_col, text_col)).join(covered, F.col("__doc").eqNullSafe(F.col("__doc2")) & F.col("__sum").eqNullSafe(F.col("__sum2")), "left")
-    hit = F.col("__cover").isNotNull()
-    return joined.withColumns({text_col: F.when(hit, F.array_join(keep, "\n")).otherwise(F.col(text_col)), "lines_removed": F.when(hit, F.size("__cover")).otherwise(0)}).select(*[c for c in docs.columns if c != "lines_removed"], "lines_removed")
+    # of a very frequent window, the occurrences are the side that adaptive execution splits
+    later = found.join(repeated, ["h", "g"]).where(place != F.col("first")).groupBy("doc", "sum").agg(F.sort_array(F.collect_set("pos")).alias("pos"))
+    later = later.select(F.col("doc").alias("doc2"), F.col("sum").alias("sum2"), "pos")
+    text = of_row(text_col)
+    rows = packed(docs).select("row", *_key(of_row(id_col), text))
+    joined = rows.join(later, F.col("doc").eqNullSafe(F.col("doc2")) & F.col("sum").eqNullSafe(F.col("sum2")), "left")
+    left = joined.select("row", F.when(F.col("pos").isNotNull(), _uncovered(text, F.col("pos"), lines)).alias("left"))
+    hit = F.col("left").isNotNull()
+    cleaned = F.when(hit, F.array_join("left", "\n")).otherwise(text)
+    removed = F.when(hit, F.regexp_count(text, F.lit("\n")) + 1 - F.size("left")).otherwise(0)
+    columns = [c for c in docs.columns if c.lower() != "lines_removed"]
+    return left.select(*[(cleaned if c == text_col else of_row(c)).alias(c) for c in columns], removed.alias("lines_removed"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from postingflow.llm import line_dedup as op
@@ -28,5 +30,25 @@ def test_edges(spark):
     assert [r.lines_removed for r in op.line_dedup(twice).collect()] == [0, 0]
 
 
+def test_any_column_names(spark):
+    df = spark.createDataFrame([(1, "a\nb\nc"), (2, "a\nb\nc\nd")], "doc_id long, text string")
+    names = ["__doc", "__sum", "__cover", "doc", "sum", "row", "left", "a.b", "x`y", "doc2"]
+    for c in names:
+        df = df.withColumn(c, F.lit("keep " + c))
+    df = df.withColumn("LINES_REMOVED", F.lit(7))
+    got = {r.doc_id: r for r in op.line_dedup(df).collect()}
+    assert op.line_dedup(df).columns == ["doc_id", "text", *names, "lines_removed"]
+    assert [got[2][c] for c in names] == ["keep " + c for c in names] and (got[2].text, got[2].lines_removed) == ("d", 3)
+
+
+def test_very_long_text(spark):
+    """Two copies of 200,000 lines, one with a line of its own in the middle."""
+    lines = [f"line {k}" for k in range(200_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join([*lines[:90_000], "own", *lines[90_000:]]))]
+    begin = time.time()
+    got = {r.doc_id: (r.text, r.lines_removed) for r in op.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) and got[2] == ("own", 200_000) and time.time() - begin < 60
+
+
 def test_sql(same):
     same(op.query, op.SQL)
