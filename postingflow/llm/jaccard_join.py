@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ._bytes import WORD, flat, mix, slices, span_hashes, spans, windows
 from ._graph import components
-from ._spark import table, written
+from ._spark import quoted, table, written
 
 N = 3
 THRESHOLD = 0.5
@@ -266,9 +266,9 @@ def _verifier(n: int, minima: int, threshold: float, least: float, pairs: bool):
     return _by_cell(work)
 
 
-def row_keys(id_col: str, text_col: str) -> list[Column]:
+def row_keys(id_: Column, text: Column) -> list[Column]:
     """Two hashes of a row's id and text, by which it is known."""
-    return [F.xxhash64(F.col(id_col), F.col(text_col)).alias("r1"), F.hash(F.col(text_col), F.col(id_col)).alias("r2")]
+    return [F.xxhash64(id_, text).alias("r1"), F.hash(text, id_).alias("r2")]
 
 
 class Join:
@@ -279,7 +279,7 @@ class Join:
         bands, rows = plan(threshold, recall, docs.count())
         self.minima = bands * rows
         self.least = least_agreement(threshold, self.minima)
-        base = docs.select(F.col(id_col).cast("long").alias("id"), *row_keys(id_col, text_col), F.lower(F.col(text_col)).alias("text"))
+        base = docs.select(quoted(id_col).cast("long").alias("id"), *row_keys(quoted(id_col), quoted(text_col)), F.lower(quoted(text_col)).alias("text"))
         self.rows = written(base.mapInArrow(_sketcher(n, bands, rows), "id bigint, r1 bigint, r2 int, k bigint, bands array<bigint>, size bigint, sig binary"), "sketches")
         some = self.rows.where("k is not null")
         # a text of each class, by the row that stands for it
@@ -321,7 +321,7 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     have no partner; rows that repeat an id are never a pair with themselves. Texts are taken whole, however long. Other
     columns are ignored, whatever their names; an empty table gives no pair.
     """
-    known = docs.where(F.col(id_col).isNotNull())
+    known = docs.where(quoted(id_col).isNotNull())
     join = Join(known, id_col, text_col, n, threshold, recall)
     rep = lambda end: join.classes.select(F.col("k").alias(end), F.col("rep.id").alias(f"id_{end}"))
     met = join.verified(pairs=True).join(rep("a"), "a").join(rep("b"), "b").select("id_a", "id_b", "jaccard")

@@ -62,3 +62,19 @@ def test_empty(spark, tmp_path):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     for _, stage in cp.STAGES:
         assert stage(spark, empty.withColumn("label", F.lit(1)), str(tmp_path)).count() == 0
+
+
+def test_rows_that_repeat(spark, tmp_path):
+    """Another text with the id of a copy stays, of repeated rows one stays, and columns of any name come through."""
+    near = "one two three four five six seven eight nine ten"
+    rows = [(2, near), (3, near + " eleven"), (3, "something else entirely that stands alone here"), (1, "said twice by the same id"), (1, "said twice by the same id"), (None, near), (4, None), (4, None), (5, ""), (5, ""), (6, "..."), (6, "...")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("row", "r1", "kept", "a.b", "toxic", "lines_removed"):
+        df = df.withColumn(c, F.lit("mine"))
+    got = cp.drop_near_copies(spark, df, str(tmp_path))
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(2, near), rows[2], rows[3], *rows[6:]], key=repr)
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for stage in (cp.drop_toxic, cp.drop_repeated_lines):
+        out = stage(spark, df, str(tmp_path))
+        assert out.columns == df.columns and out.where("`a.b` = 'mine' and toxic = 'mine' and lines_removed = 'mine'").count() == len(rows)
