@@ -1,14 +1,16 @@
-"""Exact dedup of batches against immutable snapshots, screened by static binary-fuse filters.
+"""Exact dedup of new batches against immutable snapshots, screened by static binary-fuse filters.
 
-Every snapshot has one filter per shard of its digests. Incoming digests meet the filters of the older snapshots in
-their shard; those that a filter reports go to exact buckets, where the texts' bytes decide. Copies inside one new batch
-are found by grouping its digests. Texts that neither way reports are never moved.
+A batch that has been taken in becomes a snapshot: its different digests with their first ids, and one filter per shard of
+them, are saved once and from then on only read. Of a new batch, the different digests meet the saved filters in their
+shards; those that a filter reports meet the snapshots' digests, and the texts' bytes decide. Copies inside the new batch
+are found by grouping its digests, which aggregates before it shuffles, so a text repeated without end is no large group.
+Texts that neither way reports are never moved.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._bytes import mix
-from ._spark import table, written
+from ._spark import quoted, shared_folder, table, written
 
 KEYS_PER_SHARD = 1 << 19
 BATCHES = 4
@@ -89,52 +91,123 @@ def _u64(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _build(key: tuple, group: pa.Table) -> pa.Table:
-    batch, shard = (k.as_py() for k in key)
-    return pa.table({"snapshot": pa.array([batch], pa.int32()), "shard": pa.array([shard], pa.int64()), "filter": pa.array([fuse_build(_u64(group["h"]))], pa.binary())})
+    return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "filter": pa.array([fuse_build(_u64(group["h"]))], pa.binary())})
 
 
 def _screen(digests: pa.Table, filters: pa.Table) -> pa.Table:
-    h, batch = _u64(digests["h"]), digests["batch"].to_numpy()
+    h = _u64(digests["h"])
     hit = np.zeros(len(h), bool)
-    for snapshot, blob in zip(filters["snapshot"].to_pylist(), filters["filter"].to_pylist()):
-        later = np.flatnonzero((batch > snapshot) & ~hit)
-        if len(later):
-            hit[later[fuse_contains(blob, h[later])]] = True
-    return pa.table({"h": pa.array(np.unique(h[hit]).view(np.int64))})
+    for blob in filters["filter"].to_pylist():
+        hit |= fuse_contains(blob, h)
+    return pa.table({"h": pa.array(h[hit].view(np.int64))})
 
 
-def snapshot_filters(digests: DataFrame) -> DataFrame:
-    """(snapshot, shard, filter) from (batch, shard, h): built once per immutable snapshot, then only read."""
-    return digests.select("batch", "shard", "h").groupBy("batch", "shard").applyInArrow(_build, "snapshot int, shard bigint, filter binary")
+def _shard(shards: int) -> Column:
+    return F.pmod(F.shiftright("h", 7), F.lit(shards))
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """An immutable batch: ``texts`` (id, text) as it came, ``digests`` (h, d, none, id) of its different texts with their
+    first ids, ``filters`` (shard, shards, filter). Older snapshots have smaller numbers."""
+
+    number: int
+    texts: DataFrame
+    digests: DataFrame
+    filters: DataFrame
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, h, d): two digests, equal for equal bytes; null for null texts."""
+    text = quoted(text_col)
+    some = lambda h: F.when(text.isNotNull(), h)
+    return docs.select(quoted(id_col).cast("long").alias("id"), text.alias("text"), some(F.xxhash64(text)).alias("h"), some(F.xxhash64(F.lit(1), text)).alias("d"))
+
+
+def build_snapshot(batch: DataFrame, number: int, path: str | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> Snapshot:
+    """Saves a batch's digests and filters under ``path`` (default: the shared folder, until the application ends)."""
+    spark = batch.sparkSession
+    path = path or shared_folder(spark, "snapshot")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("o")
+    some = _rows(batch, id_col, text_col).where("h is not null").groupBy("h", "d").agg(first).select("h", "d", "o.none", "o.id")
+    some.write.parquet(f"{path}/digests")
+    digests = spark.read.parquet(f"{path}/digests")
+    shards = max(1, math.ceil(digests.count() / KEYS_PER_SHARD))
+    filters = digests.select("h").distinct().withColumn("shard", _shard(shards)).groupBy("shard").applyInArrow(_build, "shard bigint, filter binary")
+    filters.withColumn("shards", F.lit(shards)).write.parquet(f"{path}/filters")
+    return load_snapshot(batch, number, path, id_col=id_col, text_col=text_col)
+
+
+def load_snapshot(batch: DataFrame, number: int, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> Snapshot:
+    """A snapshot that was saved; ``batch`` is its table, for the bytes of texts that a filter reports."""
+    read = batch.sparkSession.read.parquet
+    return Snapshot(number, batch.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text")), read(f"{path}/digests"), read(f"{path}/filters"))
+
+
+def dedup(new: DataFrame, number: int, snapshots: list[Snapshot], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of a new batch: ``(doc_id, batch, keep_id, is_duplicate)``; nothing is built or saved for later.
+
+    A text that a snapshot has is a duplicate of its first row by (snapshot, id); of others the first row by id stays (null
+    ids last), and of rows that repeat id and text one. ``keep_id`` is the id of the row that stays. A null text is never
+    a duplicate and has its own id as keep_id; an empty text is a text like others, a very long one too. Other columns
+    are ignored; an empty batch gives none.
+    """
+    rows = _rows(new, id_col, text_col)
+    digests = written(rows.select("id", "h", "d").withColumn("n", F.monotonically_increasing_id()), "digests")
+    known = digests.where("h is not null")
+    different = written(known.groupBy("h").agg(F.count(F.lit(1)).alias("times")), "different-digests")
+    size = different.count()
+    found = different.where("times > 1").select("h")
+    for s in snapshots:
+        shards = s.filters.agg(F.max("shards")).first()[0] or 1
+        # a batch much larger than the snapshot meets each filter in more than one task
+        parts = max(1, math.ceil(size / (shards * KEYS_PER_SHARD)))
+        mine = different.select("h", _shard(shards).alias("shard"), F.pmod(F.xxhash64("h"), F.lit(parts)).alias("part"))
+        filters = s.filters.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), "filter")
+        found = found.unionByName(mine.groupBy("shard", "part").cogroup(filters.groupBy("shard", "part")).applyInArrow(_screen, "h bigint"))
+    suspects = written(found.distinct(), "suspects")
+    order = lambda n, batch: F.struct(F.lit(batch).alias("batch"), *(("none", "id") if batch < number else (F.col("id").isNull().alias("none"), "id")), n.alias("n"))
+    nobody = F.lit(None).cast("long")
+    owners = known.join(suspects, "h", "left_semi").select("h", "d", order(F.col("n"), number).alias("o"))
+    for s in snapshots:
+        owners = owners.unionByName(s.digests.join(suspects, "h", "left_semi").select("h", "d", order(nobody, s.number).alias("o")))
+    owners = written(owners.groupBy("h", "d").agg(F.min("o").alias("o")), "owners")
+    # exact buckets: the bytes decide whether the texts of equal digests are equal
+    texts = rows.join(suspects, "h", "left_semi").select("h", "d", "text")
+    for s in snapshots:
+        texts = texts.unionByName(_rows(s.texts, "id", "text").join(suspects, "h", "left_semi").select("h", "d", "text"))
+    mixed = written(texts.groupBy("h", "d").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b").select("h", "d"), "mixed")
+    whole = digests.join(owners, ["h", "d"], "left")
+    told = lambda id_, keep, again: (id_.alias("doc_id"), F.lit(number).alias("batch"), keep.alias("keep_id"), again.alias("is_duplicate"))
+    has = F.col("o").isNotNull()
+    again = has & ((F.col("o.batch") < number) | (F.col("o.n") != F.col("n")))
+    keep = F.when(has, F.col("o.id")).otherwise(F.col("id"))
+    if not mixed.limit(1).count():
+        return whole.select(*told(F.col("id"), keep, again))
+    # digests that different texts share: by the texts themselves
+    both = rows.join(mixed, ["h", "d"]).select(F.lit(number).alias("batch"), "id", "text")
+    for s in snapshots:
+        both = both.unionByName(_rows(s.texts, "id", "text").join(mixed, ["h", "d"]).select(F.lit(s.number).alias("batch"), "id", "text"))
+    by_text = W.partitionBy("text").orderBy("batch", F.col("id").asc_nulls_last())
+    exact = both.select("batch", "id", F.first("id").over(by_text).alias("keep"), (F.row_number().over(by_text) > 1).alias("again")).where(F.col("batch") == number)
+    return whole.join(mixed, ["h", "d"], "left_anti").select(*told(F.col("id"), keep, again)).unionByName(exact.select(*told(F.col("id"), F.col("keep"), F.col("again"))))
 
 
 def exact_dedup(docs: DataFrame, batch: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``(doc_id, batch, keep_id, is_duplicate)``.
+    """One row per input row: ``(doc_id, batch, keep_id, is_duplicate)``, batch after batch, as ``dedup`` has them.
 
-    ``batch`` numbers the batches in order of arrival (int, not null); all but the newest are snapshots by the time a
-    batch comes. A text's first row by (batch, id; null ids last) is kept and gives ``keep_id``; every later row with the
-    same bytes is a duplicate. Of rows that repeat id, batch and text one is kept. A null text is never a duplicate and
-    has its own id as keep_id; an empty text is a text like others. Other columns are ignored; empty tables give none.
+    ``batch`` numbers the batches in order of arrival (int, not null); each becomes a snapshot, once, for those after it,
+    the newest none. Empty tables give none.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), batch.cast("int").alias("batch")).withColumn("h", F.xxhash64("text"))
-    some = rows.where(F.col("text").isNotNull())
-    shards = max(1, math.ceil(docs.count() / KEYS_PER_SHARD))
-    digests = some.select("doc_id", "batch", "h").withColumn("shard", F.pmod(F.shiftright("h", 7), F.lit(shards)))
-    digests = written(digests, "digests")
-    filters = written(snapshot_filters(digests), "filters")
-    screened = digests.groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(_screen, "h bigint")
-    in_batch = digests.groupBy("batch", "h").count().where("count > 1").select("h")
-    suspects = written(screened.union(in_batch).distinct(), "suspects")
-    # exact buckets: the bytes of the text decide
-    bucket = W.partitionBy("h", "text")
-    order = bucket.orderBy("batch", F.col("doc_id").asc_nulls_last())
-    exact = (
-        some.join(suspects, "h", "left_semi")
-        .select("doc_id", "batch", F.first("doc_id").over(order).alias("keep_id"), (F.row_number().over(order) > 1).alias("is_duplicate"))
-    )
-    alone = digests.join(suspects, "h", "left_anti").select("doc_id", "batch", F.col("doc_id").alias("keep_id"), F.lit(False).alias("is_duplicate"))
-    nulls = rows.where(F.col("text").isNull()).select("doc_id", "batch", F.col("doc_id").alias("keep_id"), F.lit(False).alias("is_duplicate"))
-    return exact.unionByName(alone).unionByName(nulls)
+    numbers = sorted(r.b for r in docs.select(batch.cast("int").alias("b")).distinct().collect())
+    out, snapshots = None, []
+    for b in numbers:
+        new = docs.where(batch.cast("int") == b)
+        found = dedup(new, b, snapshots, id_col=id_col, text_col=text_col)
+        out = found if out is None else out.unionByName(found)
+        if b != numbers[-1]:
+            snapshots.append(build_snapshot(new, b, id_col=id_col, text_col=text_col))
+    return out if out is not None else docs.select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("batch"), F.lit(None).cast("long").alias("keep_id"), F.lit(False).alias("is_duplicate")).limit(0)
 
 
 def arrival(docs: DataFrame, batches: int = BATCHES) -> Column:

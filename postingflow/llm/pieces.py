@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytes import flat, slices
-from ._spark import table
+from ._spark import of_row, packed, table, unpacked
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -184,15 +184,16 @@ def _gather(values: np.ndarray, at: np.ndarray, codes: np.ndarray) -> tuple[np.n
 
 def _with(docs: DataFrame, column: str, kind: str, cols: dict[str, str], f: Callable[[pa.Array], pa.Array]) -> DataFrame:
     udf = F.arrow_udf(f, kind).asNondeterministic()  # so that a filter doesn't run it twice
-    kept = docs.select(*[c for c in docs.columns if c not in cols], udf(F.col(column)).alias("__new"))
-    return kept.select("*", *[F.col(f"__new.{field}").alias(name) for name, field in cols.items()]).drop("__new")
+    made = packed(docs).select("row", udf(of_row(column)).alias("new"))
+    return unpacked(made, docs.columns, {name: F.col("new").getField(field) for name, field in cols.items()})
 
 
 def encode(docs: DataFrame, model: Pieces, *, text_col: str = "text") -> DataFrame:
     """``docs`` with ``piece_ids`` (array<int>) and ``decodes`` (the ids give the text again, byte by byte).
 
-    They replace columns so named. Null and empty texts have no ids; a null text doesn't decode (null). Rows are encoded
-    one by one, so ties, repeated rows and null ids change nothing; texts are encoded whole. ``decodes`` is false only
+    They replace columns so named; columns of any other name stay. Null and empty texts have no ids; a null text doesn't
+    decode (null). Rows are encoded one by one, so ties, repeated rows and null ids change nothing; texts are encoded
+    whole, however long. ``decodes`` is false only
     for texts that hold the mark character itself. An empty table gives an empty table.
     """
     held: list[Encoder] = []

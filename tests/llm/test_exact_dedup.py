@@ -26,5 +26,48 @@ def test_edges(spark):
     assert op.arrival(df.limit(0)) is not None
 
 
+def brute(rows):
+    """(id, batch, keep_id, is_duplicate) of (id, text, batch)."""
+    first, out = {}, []
+    for i, t, b in sorted(rows, key=lambda r: (r[2], r[0] is None, r[0] or 0)):
+        out.append((i, b, i if t is None else first.get(t, i), t is not None and t in first))
+        if t is not None:
+            first.setdefault(t, i)
+    return sorted(out, key=repr)
+
+
+def test_saved_snapshots_are_only_read(spark, tmp_path, monkeypatch):
+    rows = [(k, f"text {k % 37}", k // 50) for k in range(150)] + [(None, "text 3", 2), (None, "own", 0), (500, "own", 2), (501, None, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, b int")
+    batch = lambda b: df.where(F.col("b") == b)
+    paths = [f"file://{tmp_path}/{b}" for b in range(2)]
+    for b in range(2):
+        op.build_snapshot(batch(b), b, paths[b])
+    monkeypatch.setattr(op, "build_snapshot", None)
+    monkeypatch.setattr(op, "_build", None)
+    stamp = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*") if p.is_file()}
+    for _ in range(2):
+        got = op.dedup(batch(2), 2, [op.load_snapshot(batch(b), b, paths[b]) for b in range(2)])
+        assert sorted((tuple(r) for r in got.collect()), key=repr) == [r for r in brute(rows) if r[1] == 2]
+    assert {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*") if p.is_file()} == stamp
+
+
+def test_one_text_very_often(spark, monkeypatch):
+    monkeypatch.setattr(op, "KEYS_PER_SHARD", 8)
+    df = spark.range(100_000).select((F.col("id") % 60_000).alias("doc_id"), F.when(F.col("id") % 1000 == 0, F.concat(F.lit("t"), "id")).otherwise("the same text").alias("text"), F.expr("id div 50000").cast("int").alias("b"))
+    rows = [tuple(r) for r in df.collect()]
+    assert sorted((tuple(r) for r in op.exact_dedup(df, F.col("b")).collect()), key=repr) == brute(rows)
+
+
+def test_equal_digests_of_different_texts(spark, monkeypatch):
+    """Digests of a few bits: the bytes decide."""
+    real = op._rows
+    few = lambda *a: real(*a).withColumn("h", F.col("h").bitwiseAND(7)).withColumn("d", F.col("d").bitwiseAND(1))
+    monkeypatch.setattr(op, "_rows", few)
+    rows = [(k, f"text {k % 90}", k // 100) for k in range(300)] + [(7, "text 7", 0), (None, None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, b int")
+    assert sorted((tuple(r) for r in op.exact_dedup(df, F.col("b")).collect()), key=repr) == brute(rows)
+
+
 def test_sql(same):
     same(op.query, op.SQL)
