@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import written
+from ._spark import removed, written
 
 MAX_ROUNDS = 64  # labels at least double their reach every round; 2**64 nodes can't be exceeded
 
@@ -14,7 +14,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label): every node of an edge with the smallest node of its component. Edges with a null end are ignored.
 
     Each round points every edge's roots at the smaller one and then shortens all paths, so a chain of n nodes takes
-    about log n rounds. Each round's labels are a written table, so no lineage grows and a lost executor costs one round.
+    about log n rounds. Each round's labels are a written table, so no lineage grows and a lost executor costs one round;
+    the last round's tables are removed. A label that many nodes have is one key of a join, whose large side adaptive
+    execution splits (spark.sql.adaptive.skewJoin.enabled, as by default).
     """
     ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
     links = written(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links")
@@ -25,7 +27,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     for _ in range(MAX_ROUNDS):
         # pointer jumping
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        labels = written(labels.join(up, "label", "left").select("node", F.coalesce("above", "label").alias("label")), "labels")
+        jumped = written(labels.join(up, "label", "left").select("node", F.coalesce("above", "label").alias("label")), "labels")
+        removed(labels)
+        labels = jumped
         deep = labels.alias("x").join(labels.select(F.col("node").alias("label"), F.col("label").alias("above")), "label").where("above < label").limit(1).count()
         # links whose ends have different labels: the larger label's node takes the smaller label
         left = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
@@ -33,7 +37,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         cross = links.join(left, "a").join(right, "b").where("la <> lb").select(F.greatest("la", "lb").alias("node"), F.least("la", "lb").alias("lower"))
         hooks = written(cross.groupBy("node").agg(F.min("lower").alias("lower")), "hooks")
         if not deep and not hooks.limit(1).count():
+            removed(links, hooks)
             return labels
-        labels = labels.join(hooks, "node", "left").select("node", F.least("label", F.coalesce("lower", "label")).alias("label"))
-        labels = written(labels, "labels")
+        hooked = written(labels.join(hooks, "node", "left").select("node", F.least("label", F.coalesce("lower", "label")).alias("label")), "labels")
+        removed(labels, hooks)
+        labels = hooked
     raise RuntimeError("components did not settle")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,48 +16,69 @@ BATCH_DEFAULT, BATCH_BYTES = "67108864b", str(8 << 20)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the driver. Unless the session says otherwise, batches to Python workers are held to 8 MB."""
-    if spark.conf.get(BATCH) == BATCH_DEFAULT:  # nobody has chosen
-        spark.conf.set(BATCH, BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of this process's own only where that is unset."""
+    """The folder named by spark.checkpoint.dir, as a URI; one of this process's own only in local mode where that is unset."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
         named = sc._jsc.sc().getCheckpointDir().get()
-    return named
+    path, files = _hadoop(spark, named)
+    return re.sub("^file:/+", "file:///", files.makeQualified(path).toString())
+
+
+def _hadoop(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """URI of a new folder in the shared folder, for files that tasks write; removed when the application ends."""
-    base = shared_dir(spark)
-    base = base if "://" in base else "file://" + base.removeprefix("file:")
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
+    path, files = _hadoop(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    files.deleteOnExit(path)
+    return path.toString().replace("file:/", "file:///", 1) if path.toString().startswith("file:/") and not path.toString().startswith("file:///") else path.toString()
+
+
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system of a URI, and the path in it; Hadoop's names of S3 are known too."""
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: later reads don't depend on any executor's local files.
 
-    The table is removed when the application ends.
+    While it is written, batches to Python workers are held to 8 MB unless the session says otherwise. The table is
+    removed by ``removed``, or when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    path = shared_folder(spark, name)
+    small = spark.conf.get(BATCH) == BATCH_DEFAULT  # nobody has chosen
+    try:
+        if small:
+            spark.conf.set(BATCH, BATCH_BYTES)
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        if small:
+            spark.conf.unset(BATCH)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing will read again."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            path, files = _hadoop(df.sparkSession, file.rsplit("/", 1)[0])
+            files.delete(path, True)
+
+
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 

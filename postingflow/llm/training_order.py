@@ -2,15 +2,16 @@
 
 1. Documents become token ids, each followed by the end id; a task's documents are one stream, cut into sequences of
    ``stride`` ids, so that only a task's last sequence is padded. Sequences are numbered by task and place in it. One
-   pass counts them, a second one cuts them; that is less to store than the tokens, and words are encoded only once.
+   pass over the texts counts them and a second one cuts them, which stores no tokens between the two; within a batch
+   every different word is encoded once.
 2. A Feistel network over the next even power of two, keyed by the seed, maps numbers to slots; a number that falls
    outside goes round again (cycle walking), so slots are a permutation of 0..n-1 without a table or a sort of it.
 3. Slots are divided in shards of ``per_shard`` sequences. One range partition holds whole shards, sorted by slot, and
    writes each as one file of ``per_shard * stride`` ids. Slot s is at byte ``(s % per_shard) * stride * 2`` of shard
    ``s // per_shard``, so a reader resumes at any step with one seek.
 
-Files are written under another name and then renamed, and their content depends on nothing but the input and the seed,
-so that a task that runs twice leaves the same file.
+The content of a file depends on nothing but the input and the seed. Every attempt of a task writes files of its own names,
+and the manifest, which Spark commits, names those of the attempt that counts; nothing is renamed or written twice.
 """
 
 from __future__ import annotations
@@ -21,14 +22,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.dataset as ds
 import zstandard
-from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytes import flat, mix, slices
-from ._spark import shared_folder, table, written
+from ._spark import filesystem, quoted, shared_folder, table, written
 from .pieces import _gather
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -40,10 +41,11 @@ SEED = 20240611
 ROUNDS = 6
 BYTES = 2  # of an id
 SLICE = 8 << 20
-#: Blanks that may not begin a token, and white space that Arrow's regular expressions don't know.
-ODD = r"^ | $|  |\s \s|[\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+RANGE_BYTES = 64 << 20  # of ids that one range partition writes, at least a shard
+#: White space, also that which Arrow's regular expressions don't take for such.
+WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 DOCS = "array<struct<doc_id: bigint, start: bigint, at: int, length: int>>"
-INDEX = f"slot bigint, shard bigint, offset bigint, n_tokens int, docs {DOCS}"
+INDEX = f"slot bigint, shard bigint, file string, offset bigint, n_tokens int, docs {DOCS}"
 
 
 def feistel(numbers: np.ndarray, n: int, seed: int = SEED) -> np.ndarray:
@@ -84,44 +86,52 @@ class Tokens:
         return np.array(self.encoding.encode_ordinary(text), np.uint16)
 
     def batch(self, texts: pa.Array, count: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets) of all rows; to ``count``, offsets alone. A blank between two other characters that aren't white space begins a token
-        whatever stands before, so the words between blanks are encoded by themselves; rows with other blanks are not.
+        """(ids, offsets) of all rows; to ``count``, offsets alone.
+
+        A blank between two other characters that aren't white space begins a token whatever stands before, so texts are
+        cut there and every different segment is encoded once. Most segments are words; other blanks hold words together.
         """
         texts = texts.fill_null("").cast(pa.large_string())
-        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
-        lists = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
+        lists = pc.split_pattern(texts, " ")
         at = lists.offsets.to_numpy().astype(np.int64)
         words = pc.dictionary_encode(lists.flatten())
         codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        left, right = (pc.match_substring_regex(words.dictionary, r).to_numpy(zero_copy_only=False) for r in (f"^(?:{WHITE}|$)", f"(?:^|{WHITE})$"))
         own = words.dictionary
-        # words without white space at their ends: one call for all, cut where a token begins with a blank
-        edge = pc.match_substring_regex(own, r"^$|^\s|\s$").to_numpy(zero_copy_only=False)
-        plain, others = np.flatnonzero(~edge), np.flatnonzero(edge)
-        ids = self.encode("".join([" " + w for w in own.take(pa.array(plain)).to_pylist()]))
+        # segments: begin with their row or behind a blank that begins a token
+        begins = np.ones(len(codes), bool)
+        begins[1:] = ~(right[codes[:-1]] | left[codes[1:]])
+        first = np.zeros(len(codes), bool)
+        first[at[:-1]] = True  # split gives every row a word at least
+        begins |= first
+        seg = np.flatnonzero(begins)
+        size = np.diff(np.append(seg, len(codes)))
+        code, head = codes[seg], first[seg]
+        rows = np.searchsorted(seg, at)
+        # words without white space at their ends and with a blank before: one call for all, cut where a token begins with a blank
+        plain = np.flatnonzero(~(left | right))
+        row = pa.ListArray.from_arrays(pa.array([0, len(plain)], pa.int32()), own.take(pa.array(plain)).cast(pa.string()))
+        ids = self.encode(" " + pc.binary_join(row, " ")[0].as_py()) if len(plain) else np.zeros(0, np.uint16)
         begin = np.flatnonzero(self.blank[ids])
         if len(begin) != len(plain):
             raise RuntimeError("a token spans words")
-        # a row's first word has no blank before it: such words are numbered apart
-        some = at[:-1][np.diff(at) > 0]
-        firsts, where = np.unique(codes[some], return_inverse=True)
-        single = [*(self.encode(" " + w if w else "") for w in own.take(pa.array(others)).to_pylist()), *(self.encode(w) for w in own.take(pa.array(firsts)).to_pylist())]
-        begin = np.concatenate([begin, len(ids) + np.cumsum([0, *(len(x) for x in single)])]).astype(np.int64)
-        number = np.empty(len(own), np.int64)
-        number[plain], number[others] = np.arange(len(plain)), len(plain) + np.arange(len(others))
-        codes = number[codes]
-        codes[some] = len(own) + where
+        number = np.full(len(own), -1)
+        number[plain] = np.arange(len(plain))
+        number = np.where((size == 1) & ~head, number[code], -1)
+        # the rest: a row's first word has no blank before it, and segments of more than one word
+        single: dict[str, int] = {}
+        other = np.flatnonzero(number < 0)
+        taken = np.unique(codes[np.repeat(number < 0, size)])
+        text_of = dict(zip(taken.tolist(), own.take(pa.array(taken)).to_pylist()))
+        for k, w, n, h in zip(other.tolist(), seg[other].tolist(), size[other].tolist(), head[other].tolist()):
+            text = " ".join([text_of[c] for c in codes[w : w + n].tolist()])
+            number[k] = len(plain) + single.setdefault(text if h else " " + text, len(single))
+        parts = [self.encode(t) for t in single]
+        begin = np.concatenate([begin, len(ids) + np.cumsum([0, *map(len, parts)])]).astype(np.int64)
         if count:
-            offs = np.concatenate([[0], np.cumsum(np.diff(begin)[codes])]).astype(np.int64)[at]
-            size = np.diff(offs)
-            size[odd] = [len(self.encode(x)) for x in texts.filter(pa.array(odd)).to_pylist()]
-            return ids[:0], np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-        ids, upto = _gather(np.concatenate([ids, *single]), begin, codes)
-        offs = upto[at]
-        if odd.any():
-            rows = [self.encode(texts[k].as_py()) if o else ids[offs[k] : offs[k + 1]] for k, o in enumerate(odd)]
-            offs = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-            ids = np.concatenate([*rows, np.zeros(0, np.uint16)])
-        return ids, offs
+            return ids[:0], np.concatenate([[0], np.cumsum(np.diff(begin)[number])]).astype(np.int64)[rows]
+        ids, upto = _gather(np.concatenate([ids, *parts]), begin, number)
+        return ids, upto[rows]
 
 
 def _streams(batches: Iterator[pa.RecordBatch], tokens: Tokens, end: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -195,62 +205,70 @@ def _cutter(ranks: dict[bytes, int], counts: dict[int, int], stride: int, per_sh
 
 def _writer(folder: str, stride: int, per_shard: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, base = pafs.FileSystem.from_uri(folder)
+        files, base = filesystem(folder)
         files.create_dir(base, recursive=True)
         attempt, unpack = TaskContext.get().taskAttemptId(), zstandard.ZstdDecompressor()
-        now, out, temporary = None, None, ""
-
-        def close() -> None:
-            if out is not None:
-                out.close()
-                files.move(temporary, f"{base}/shard-{now:07d}.bin")
-
+        now, out, name = None, None, ""
         for batch in batches:
+            names = []
             for shard, data in zip(batch.column("shard").to_pylist(), batch.column("data").to_pylist()):
                 if shard != now:
-                    close()
-                    now, temporary = shard, f"{base}/_{attempt}-{shard}"
-                    out = files.open_output_stream(temporary, compression=None)
+                    if out is not None:
+                        out.close()
+                    now, name = shard, f"shard-{shard:07d}-{attempt}.bin"
+                    out = files.open_output_stream(f"{base}/{name}", compression=None)
                 ids = unpack.decompress(data)
                 out.write(ids + np.full(stride - len(ids) // BYTES, end, "<u2").tobytes())
+                names.append(name)
             offset = pa.array((batch.column("slot").to_numpy() % per_shard) * (stride * BYTES))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("slot", "shard")), offset, *(batch.column(c) for c in ("n_tokens", "docs"))], ["slot", "shard", "offset", "n_tokens", "docs"])
-        close()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("slot", "shard")), pa.array(names, pa.string()), offset, *(batch.column(c) for c in ("n_tokens", "docs"))], ["slot", "shard", "file", "offset", "n_tokens", "docs"])
+        if out is not None:
+            out.close()
 
     return run
 
 
 def materialise(docs: DataFrame, ranks: dict[bytes, int], folder: str, *, id_col: str = "doc_id", text_col: str = "text", stride: int = STRIDE, per_shard: int = PER_SHARD, seed: int = SEED, end: int = END) -> DataFrame:
-    """Writes the shards to ``folder`` (a URI that all executors reach) and returns their index as a written table.
+    """Writes the shards and their manifest to ``folder`` (a URI that all executors reach) and returns their index as a
+    written table.
 
-    ``(slot, shard, offset, n_tokens, docs)``, one row per sequence; ``docs`` says which tokens of which documents it
+    ``(slot, shard, file, offset, n_tokens, docs)``, one row per sequence; ``docs`` says which tokens of which documents it
     holds, in order: (doc_id, start in the document, at in the sequence, length). Every token of every text, and the end
     id after it, is in one sequence. Null and empty texts are in none; rows that repeat an id or a text are documents of
-    their own, null ids too. Other columns are ignored. An empty table writes no shard and gives an empty index.
+    their own, null ids too; ties have no order but that of the input. A text longer than a sequence, or than a batch, goes
+    on in the next one. Other columns are ignored. An empty table writes no shard and gives an empty index.
 
     ``docs`` is read twice and has to give the same rows in the same partitions, as a table does; a task that finds
     anything else fails.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text"))
     counts = {r.part: r.n for r in rows.select("text").mapInArrow(_counter(ranks), "part int, n bigint").collect()}  # a row per task
     n = sum(-(-c // stride) for c in counts.values())
     shards = max(1, -(-n // per_shard))
     cut = rows.mapInArrow(_cutter(ranks, counts, stride, per_shard, end, seed), f"slot bigint, shard bigint, n_tokens int, docs {DOCS}, data binary")
     # shards are equal and their slots known, so the ranges need no sample
-    ranges = min(shards, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    ranges = min(shards, max(1, -(-n * stride * BYTES // RANGE_BYTES)))
     placed = cut.withColumn("range", F.floor(F.col("shard") * ranges / shards).cast("int"))
-    return written(placed.repartitionById(ranges, "range").sortWithinPartitions("slot").drop("range").mapInArrow(_writer(folder, stride, per_shard, end), INDEX), "shard-index")
+    index = written(placed.repartitionById(ranges, "range").sortWithinPartitions("slot").drop("range").mapInArrow(_writer(folder, stride, per_shard, end), INDEX), "shard-index")
+    index.select("shard", "file").distinct().coalesce(1).write.parquet(f"{folder}/manifest")  # a row per shard
+    return index
+
+
+def manifest(folder: str) -> dict[int, str]:
+    """The file of each shard."""
+    files, base = filesystem(folder)
+    t = ds.dataset(f"{base}/manifest", filesystem=files, format="parquet").to_table()
+    return dict(zip(t["shard"].to_pylist(), t["file"].to_pylist()))
 
 
 def read_slots(folder: str, begin: int, stop: int, *, stride: int = STRIDE, per_shard: int = PER_SHARD) -> Iterator[np.ndarray]:
     """The sequences of slots begin..stop-1 in order: one seek, then sequential reads. Ends early behind the last slot."""
-    files, base = pafs.FileSystem.from_uri(folder)
-    size = stride * BYTES
+    files, base = filesystem(folder)
+    size, names = stride * BYTES, manifest(folder)
     while begin < stop:
-        path = f"{base}/shard-{begin // per_shard:07d}.bin"
-        if files.get_file_info(path).type == pafs.FileType.NotFound:
+        if begin // per_shard not in names:
             return
-        with files.open_input_file(path) as f:
+        with files.open_input_file(f"{base}/{names[begin // per_shard]}") as f:
             f.seek(begin % per_shard * size)
             here = min(stop - begin, per_shard - begin % per_shard)
             for _ in range(here):
@@ -263,13 +281,13 @@ def read_slots(folder: str, begin: int, stop: int, *, stride: int = STRIDE, per_
 
 def _checker(folder: str, stride: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, base = pafs.FileSystem.from_uri(folder)
+        files, base = filesystem(folder)
         now, f = None, None
         for batch in batches:
             digest = []
-            for shard, offset, n in zip(*(batch.column(c).to_pylist() for c in ("shard", "offset", "n_tokens"))):
-                if shard != now:
-                    now, f = shard, files.open_input_file(f"{base}/shard-{shard:07d}.bin")
+            for name, offset, n in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "n_tokens"))):
+                if name != now:
+                    now, f = name, files.open_input_file(f"{base}/{name}")
                 f.seek(offset)
                 ids = np.frombuffer(f.read(stride * BYTES), "<u2").astype(np.uint64)
                 with np.errstate(over="ignore"):
@@ -283,4 +301,4 @@ def query(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> Dat
     """The index of all documents' shards, with a digest of each sequence as it is read back from its place."""
     folder = shared_folder(spark, "order")
     index = materialise(table(spark, sf_dir, "documents"), load_ranks(vocabulary), folder)
-    return index.mapInArrow(_checker(folder, STRIDE), INDEX + ", digest bigint")
+    return index.mapInArrow(_checker(folder, STRIDE), INDEX + ", digest bigint").drop("file")

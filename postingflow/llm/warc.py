@@ -4,8 +4,8 @@ A task turns its rows into records and gathers them up to a file's size. The dic
 file, all of them; it is stored itself compressed in a skippable frame (magic 0x184D2A5D) at the start of the file, so
 that a file is read without anything else. Every record is a frame of its own, so a record is read by one seek.
 
-Files are written under another name and then renamed; names and content depend only on the rows of the task, so that a
-task that runs twice leaves the same file.
+Every attempt of a task writes files of its own names, and the index, which Spark commits, names those of the attempt that
+counts; nothing is renamed or written twice. A file that the index doesn't name is of an attempt that failed.
 """
 
 from __future__ import annotations
@@ -17,12 +17,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import shared_folder, table, written
+from ._spark import filesystem, quoted, shared_folder, table, written
 
 MAGIC = 0x184D2A5D
 FILE_BYTES = 64 << 20  # of records before compression; what a task holds at a time
@@ -82,19 +81,17 @@ def file_bytes(records: list[bytes], level: int = LEVEL) -> tuple[bytes, list[tu
 
 def _writer(folder: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, base = pafs.FileSystem.from_uri(folder)
+        files, base = filesystem(folder)
         files.create_dir(base, recursive=True)
         context = TaskContext.get()
         rows, records, held, count = [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
             nonlocal rows, records, held, count
-            name = f"part-{context.partitionId():07d}-{count:04d}.warc.zst"
+            name = f"part-{context.partitionId():07d}-{count:04d}-{context.taskAttemptId()}.warc.zst"
             data, places = file_bytes(records)
-            temporary = f"{base}/_{context.taskAttemptId()}-{name}"
-            with files.open_output_stream(temporary, compression=None) as f:
+            with files.open_output_stream(f"{base}/{name}", compression=None) as f:
                 f.write(data)
-            files.move(temporary, f"{base}/{name}")
             ids, urls, sha = zip(*rows)
             batch = pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array([name] * len(rows)), pa.array([p[0] for p in places], pa.int64()), pa.array([p[1] for p in places], pa.int64()), pa.array([len(r) for r in records], pa.int64()), pa.array(sha, pa.string())],
@@ -124,10 +121,10 @@ def write_warc(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_co
     """Writes ``folder`` (a URI that all executors reach) and returns the index, a row per record, as a written table.
 
     ``(page_id, url, file, offset, length, record_bytes, payload_sha1)``. A null payload is nothing to archive and has no
-    record; an empty one has. A null url is written as an empty one; white space in urls as single blanks. Rows that
+    record; an empty one has, and one of any length, whole. A null url is written as an empty one; white space in urls as single blanks. Rows that
     repeat are records of their own, null ids too. Other columns are ignored; an empty table writes no file.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(payload_col).alias("payload"))
+    rows = pages.select(quoted(id_col).cast("long").alias("page_id"), quoted(url_col).alias("url"), quoted(payload_col).alias("payload"))
     return written(rows.mapInArrow(_writer(folder, size), INDEX), "warc-index")
 
 
@@ -150,7 +147,7 @@ class Reader:
 
 def _reader(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, base = pafs.FileSystem.from_uri(folder)
+        files, base = filesystem(folder)
         now, reader = None, None
         for batch in batches:
             payload, uri = [], []

@@ -6,7 +6,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from postingflow.llm import training_order as op
-from postingflow.llm._spark import shared_folder
+from postingflow.llm._spark import filesystem, shared_folder
 
 SF = "/root/testdata/sf0.01"
 
@@ -72,3 +72,27 @@ def test_edges(spark):
     empty = shared_folder(spark, "test-order")
     assert op.materialise(df.limit(0), ranks, empty).count() == 0
     assert list(op.read_slots(empty, 0, 5)) == []
+
+
+def test_counts_equal_cuts():
+    tokens = op.Tokens(op.load_ranks())
+    texts = pa.array(["", None, " ", "a b", "a  b", "\n a", "a \n", " ".join(["w"] * 3000), "x" * 50000, "a\u3000 b c"])
+    ids, offs = tokens.batch(texts)
+    assert tokens.batch(texts, count=True)[1].tolist() == offs.tolist() and offs[-1] == len(ids)
+    assert tokens.batch(texts.slice(0, 0))[1].tolist() == [0]
+
+
+def test_attempts_leave_each_other_alone(spark):
+    """A second attempt of a task writes other files; readers follow the manifest."""
+    df = spark.createDataFrame([(k, f"some words of text {k}") for k in range(200)], "doc_id long, text string")
+    folder = shared_folder(spark, "test-order")
+    index = op.materialise(df, op.load_ranks(), folder, stride=64, per_shard=5)
+    names = op.manifest(folder)
+    assert {r.shard: r.file for r in index.collect()} == names and len(names) > 1
+    files, base = filesystem(folder)
+    before = list(op.read_slots(folder, 0, 1000, stride=64, per_shard=5))
+    for name in names.values():
+        with files.open_output_stream(f"{base}/{name.rsplit('-', 1)[0]}-99999.bin") as f:
+            f.write(b"half of a shard")
+    after = list(op.read_slots(folder, 0, 1000, stride=64, per_shard=5))
+    assert len(before) == index.count() and all((x == y).all() for x, y in zip(before, after))
