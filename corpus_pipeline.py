@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postingflow.llm import jaccard_join, line_dedup, packing, toxicity
-from postingflow.llm._spark import of_row, packed, table, written
+from postingflow.llm._spark import of_row, packed, removed, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -79,8 +79,10 @@ STAGES = [("toxicity", drop_toxic), ("line dedup", drop_repeated_lines), ("n-gra
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(COLUMNS)
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    for k, (name, stage) in enumerate(STAGES):
+        before, docs = docs, written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        if k:
+            removed(before)
     return docs
 
 
