@@ -95,3 +95,41 @@ def code_points(text: Column) -> Column:
 
 def utf8_bytes(text: Column) -> Column:
     return F.octet_length(text)
+
+
+def valid_utf8(data: Column) -> Column:
+    """Bytes as text; what isn't UTF-8 becomes U+FFFD, one for each longest part that could have begun a character."""
+    return F.make_valid_utf8(data.cast("string"))
+
+
+def utf16(text: Column) -> Column:
+    """The text's UTF-16 units, little end first, without a mark."""
+    return F.encode(text, "UTF-16LE")
+
+
+def from_utf16(data: Column) -> Column:
+    return F.decode(data, "UTF-16LE")
+
+
+def utf16_units(text: Column) -> Column:
+    """Length in UTF-16 units: characters beyond the first 65,536 count twice."""
+    return (F.octet_length(utf16(text)) / 2).cast("long")
+
+
+_GROUPED = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))]))
+
+
+@F.arrow_udf(_GROUPED)
+def by_term(terms: pa.Array) -> pa.Array:
+    """Each row's different terms with their ascending positions: one stable sort of a batch's term numbers."""
+    at = terms.offsets.to_numpy().astype(np.int64)
+    words = pc.dictionary_encode(terms.flatten())
+    codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    at = at - at[0]
+    rows = np.repeat(np.arange(len(terms)), np.diff(at))
+    key = rows * max(1, len(words.dictionary)) + codes
+    order = np.argsort(key, kind="stable")
+    begins = np.flatnonzero(np.diff(key[order], prepend=-1))
+    positions = pa.ListArray.from_arrays(pa.array(np.append(begins, len(key)).astype(np.int32)), pa.array((np.arange(len(key)) - at[rows])[order].astype(np.int32)))
+    entries = pa.StructArray.from_arrays([words.dictionary.take(pa.array(codes[order][begins])), positions], ["term", "positions"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows[order][begins], np.arange(len(terms) + 1)).astype(np.int32)), entries)

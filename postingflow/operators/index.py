@@ -1,9 +1,12 @@
 """The positional inverted index: four tables, each a lazy DataFrame until it is saved.
 
+A document is one row, so its occurrences are grouped inside the row and nothing is shuffled for that. To save an index
+every text is analysed once, for the forward table, and everything else is derived from that.
+
 =========  ==========================================================  ==========================================
-forward    (doc_id, terms, starts, lengths): arrays, one row per text  text ranges; no shuffle to build
-postings   (term, doc_id, positions): ascending positions              search; grouped by (term, doc_id), so that a
-                                                                       frequent term is no single task
+forward    (doc_id, terms, starts, lengths): arrays, one row per text  text ranges; saved in ranges of doc_id
+postings   (term, doc_id, positions): ascending positions              search; saved in ranges of (term, doc_id), so
+                                                                       that a frequent term is no single task
 doc_stats  (doc_id, term_count): texts without a term too              lengths, their number and mean
 terms      (term, df, term_count)                                      dictionary
 =========  ==========================================================  ==========================================
@@ -12,12 +15,12 @@ terms      (term, df, term_count)                                      dictionar
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.analysis import LOWERCASE, Analyzer
+from ..functions.analysis import LOWERCASE, Analyzer, by_term
 
 TABLES = ("forward", "postings", "doc_stats", "terms")
 
@@ -29,6 +32,8 @@ class Index:
     doc_stats: DataFrame
     terms: DataFrame
     analyzer: Analyzer = LOWERCASE
+    saved: bool = False
+    known: dict[str, int] = field(default_factory=dict, repr=False, compare=False)  # df of terms that were looked up, 0 for none
 
     # tables
     def tokens(self) -> DataFrame:
@@ -48,10 +53,17 @@ class Index:
         """Postings of some terms; of a saved index only the row groups that can hold them are read."""
         return self.postings.where(F.col("term").isin(sorted(set(terms))))
 
+    def dfs(self, terms: Iterable[str]) -> dict[str, int]:
+        """Documents that have each of some terms, 0 for unknown ones: one job on the dictionary, however many there are."""
+        wanted = set(terms)
+        if new := sorted(wanted - self.known.keys()):
+            found = {r.term: r.df for r in self.terms.where(F.col("term").isin(new)).select("term", "df").collect()}
+            self.known.update({t: found.get(t, 0) for t in new})
+        return {t: self.known[t] for t in wanted}
+
     def existing(self, terms: Iterable[str]) -> set[str]:
-        """Which of some terms the dictionary has: one job, however many there are."""
-        wanted = sorted(set(terms))
-        return {r.term for r in self.postings_of(wanted).select("term").distinct().collect()} if wanted else set()
+        """Which of some terms the dictionary has."""
+        return {t for t, n in self.dfs(terms).items() if n}
 
     # single values
     def document_count(self) -> int:
@@ -71,32 +83,49 @@ class Index:
 
     def term_count(self, term: str, doc_id: int | None = None) -> int:
         """Occurrences in the corpus or in one document; KeyError for a term that the corpus doesn't have."""
-        chosen = F.lit(True) if doc_id is None else F.col("doc_id") == doc_id
-        n = self.postings_of([term]).agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(chosen, F.size("positions"))).alias("n")).first()
-        if not n.df:
+        row = self.terms.where(F.col("term") == term).first()
+        if row is None:
             raise KeyError(term)
-        return n.n or 0
+        if doc_id is None:
+            return row.term_count
+        one = self.postings_of([term]).where(F.col("doc_id") == doc_id).select(F.size("positions").cast("long").alias("n")).first()
+        return one.n if one else 0
 
     def df(self, term: str) -> int:
-        return self.postings_of([term]).count()
+        return self.dfs([term])[term]
 
     def tf(self, term: str, doc_id: int) -> float:
         n = self.term_count(term, doc_id)
         return n / self.document_term_count(doc_id) if n else 0.0
 
     # storage
-    def save(self, path: str) -> None:
-        """Parquet; postings in ranges of (term, doc_id), so that a search skips what its terms can't be in."""
-        self.forward.write.mode("overwrite").parquet(f"{path}/forward")
-        self.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
-        by_term = self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-        by_term.write.mode("overwrite").option("parquet.block.size", 32 << 20).parquet(f"{path}/postings")
-        saved = self.forward.sparkSession.read.parquet(f"{path}/postings")
-        dictionary(saved).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    def save(self, path: str, part: str = "") -> None:
+        """Parquet; postings in ranges of (term, doc_id), so that a search skips what its terms can't be in.
+
+        The forward table is written first, and the others are made of it. ``part`` is a folder within each table.
+        """
+        spark = self.forward.sparkSession
+        table = lambda name: f"{path}/{name}/{part}" if part else f"{path}/{name}"
+        self.forward.write.mode("overwrite").parquet(table("forward"))
+        forward = spark.read.schema(self.forward.schema).parquet(table("forward"))
+        lengths(forward).write.mode("overwrite").parquet(table("doc_stats"))
+        by_range = grouped(forward).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+        by_range.write.mode("overwrite").option("parquet.block.size", 32 << 20).parquet(table("postings"))
+        postings = spark.read.schema(self.postings.schema).parquet(table("postings"))
+        dictionary(postings).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(table("terms"))
 
 
 def load(spark: SparkSession, path: str, analyzer: Analyzer = LOWERCASE) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{t}") for t in TABLES), analyzer=analyzer)
+    return Index(*(spark.read.parquet(f"{path}/{t}") for t in TABLES), analyzer=analyzer, saved=True)
+
+
+def grouped(forward: DataFrame) -> DataFrame:
+    """Postings of the documents of a forward table."""
+    return forward.select("doc_id", F.explode(by_term("terms")).alias("p")).select("p.term", "doc_id", "p.positions")
+
+
+def lengths(forward: DataFrame) -> DataFrame:
+    return forward.select("doc_id", F.size("terms").cast("long").alias("term_count"))
 
 
 def dictionary(postings: DataFrame) -> DataFrame:
@@ -110,18 +139,18 @@ def check_ids(docs: DataFrame, id_col: str) -> None:
         raise ValueError(f"document id {bad[0].id} is {'null' if bad[0].id is None else 'repeated'}")
 
 
-def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", analyzer: Analyzer = LOWERCASE, check: bool = True) -> Index:
-    """The index of a table of texts; nothing is computed but the check of ids, which can be turned off."""
+def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", analyzer: Analyzer = LOWERCASE, check: bool = True, ranged: bool = False) -> Index:
+    """The index of a table of texts; nothing is computed but the check of ids, which can be turned off.
+
+    ``ranged`` brings texts in ranges of their ids before they are analysed, so that the saved forward table is; it costs
+    one shuffle of the texts, and is for tables that aren't in the order of their ids already.
+    """
     if check:
         check_ids(docs, id_col)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    if ranged:
+        base = base.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     terms: Column = analyzer.terms(F.col("text"))
     forward = base.select("doc_id", terms.alias("terms"), analyzer.ranges(F.col("text")).alias("r")).select("doc_id", "terms", "r.starts", "r.lengths")
-    # all of a document's tokens are in one row, so the partial aggregation already ends with one row per (term, doc_id)
-    occurrences = base.select("doc_id", F.posexplode(terms).alias("term_pos", "term"))
-    postings = occurrences.groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("term_pos")).alias("positions"))
-    doc_stats = base.select("doc_id", F.size(analyzer.tokens(F.col("text"))).cast("long").alias("term_count"))
-    # the dictionary needs no positions
-    counted = occurrences.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    words = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("term_count"))
-    return Index(forward, postings, doc_stats, words, analyzer)
+    postings = grouped(forward)
+    return Index(forward, postings, lengths(forward), dictionary(postings), analyzer)

@@ -7,13 +7,21 @@ from pyspark.sql import functions as F
 
 from .index import Index
 
+FEW = 1000  # documents whose ids go to the scan of the forward table
+
 
 def text_ranges(index: Index, result: DataFrame) -> DataFrame:
     """(doc_id, hit_index, term_pos, term_len, position, length): from the first token's start to the last one's end.
 
-    One join by document with the forward table; its arrays are looked up by position, no token becomes a row.
+    One join by document with the forward table; its arrays are looked up by position, no token becomes a row. Of a saved
+    index and a result of at most FEW documents only the row groups that can hold them are read, and only their rows shuffled.
     """
-    joined = result.join(index.forward.select("doc_id", "starts", "lengths"), "doc_id")
+    forward = index.forward.select("doc_id", "starts", "lengths")
+    if index.saved:
+        ids = [r.doc_id for r in result.select("doc_id").limit(FEW + 1).collect()]
+        if len(ids) <= FEW:
+            forward = forward.where(F.col("doc_id").isin(ids))
+    joined = result.join(forward, "doc_id")
     one = joined.select("doc_id", "starts", "lengths", F.posexplode("hits").alias("hit_index", "h"))
     last = (F.col("h.pos") + F.col("h.len") - 1).cast("int")
     begin = F.get("starts", F.col("h.pos").cast("int"))

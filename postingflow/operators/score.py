@@ -29,7 +29,7 @@ def _scored(index: Index, expr: Expr, result: DataFrame, weight: Column, corpus:
     rows = found.join(result.select("doc_id"), "doc_id", "left_semi")
     counts = spark.createDataFrame(sorted(times.items()), "term string, times long")
     if corpus:
-        df = index.postings_of(times).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        df = spark.createDataFrame(sorted(index.dfs(times).items()), "term string, df long")
         counts = counts.join(df, "term").crossJoin(index.corpus_stats())
         rows = rows.join(index.doc_stats, "doc_id")
     rows = rows.join(F.broadcast(counts), "term")

@@ -6,10 +6,13 @@ match. Postings are shuffled once, by document, whatever the tree's depth.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .query import Adjacent, And, Expr, Near, Not, Or, Term
 
@@ -30,6 +33,20 @@ def in_order(expr: Expr) -> bool:
     return not isinstance(expr, Near) and all(in_order(c) for c in expr.children)
 
 
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _largest_so_far(hits: pa.Array) -> pa.Array:
+    """Of each hit, the largest position up to it."""
+    at = hits.offsets.to_numpy().astype(np.int64)
+    pos = hits.flatten().field("pos").to_numpy(zero_copy_only=False).astype(np.int64)
+    at = at - at[0]
+    rows = np.repeat(np.arange(len(hits)), np.diff(at))
+    # positions of later rows are lifted above those before, so that one pass does for all
+    lift = int(pos.max(initial=0)) + 1
+    out = np.maximum.accumulate(pos + rows * lift) - rows * lift if len(pos) else pos
+    null = hits.is_null()
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(out), mask=null) if null.true_count else pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(out))
+
+
 def _merge(parts: list[Column], sorted_: list[bool]) -> Column:
     """Merges lists by their heads, ties to the first list.
 
@@ -38,10 +55,10 @@ def _merge(parts: list[Column], sorted_: list[bool]) -> Column:
     """
 
     def keyed(part: Column, slot: int, ascending: bool) -> Column:
-        def own(h: Column, i: Column) -> Column:
-            return h["pos"] if ascending else F.array_max(F.transform(F.slice(part, 1, i + 1), lambda x: x["pos"]))
-
-        return F.transform(part, lambda h, i: F.struct(own(h, i).alias("key"), F.lit(slot).alias("slot"), i.alias("i"), h["pos"].alias("pos"), h["len"].alias("len")))
+        own = lambda key, h, i: F.struct(key.alias("key"), F.lit(slot).alias("slot"), i.alias("i"), h["pos"].alias("pos"), h["len"].alias("len"))
+        if ascending:
+            return F.transform(part, lambda h, i: own(h["pos"], h, i))
+        return F.transform(F.arrays_zip(part.alias("h"), _largest_so_far(part).alias("key")), lambda z, i: own(z["key"], z["h"], i))
 
     every = F.concat(*[keyed(p, k, s) for k, (p, s) in enumerate(zip(parts, sorted_))])
     return F.transform(F.array_sort(every), lambda h: F.struct(h["pos"].alias("pos"), h["len"].alias("len")))
@@ -51,41 +68,61 @@ def _or_null(hits: Column) -> Column:
     return _let(hits, lambda h: F.when(F.size(h) > 0, h))
 
 
-def _near(parts: list[Column], distance: int) -> Column:
-    """The greedy walk: one cursor per operand; a round takes the hits under the cursors in order of position."""
-    slots = len(parts)
-
-    def walk(lists: Column) -> Column:
-        def step(state: Column, _: Column) -> Column:
-            under = F.transform(
-                state["at"],
-                lambda c, s: F.struct(F.get(F.get(lists, s), c)["pos"].alias("pos"), s.alias("slot"), F.get(F.get(lists, s), c)["len"].alias("len")),
-            )
-            # of operands at one position only the last takes part
-            alone = lambda u: F.array_sort(F.filter(u, lambda h, s: ~F.exists(F.slice(u, s + 2, slots), lambda o: o["pos"] == h["pos"])))
-
-            def judge(heads: Column) -> Column:
-                gap = lambda i: F.get(heads, i)["pos"] - (F.get(heads, i - 1)["pos"] + F.get(heads, i - 1)["len"] - 1)
-                close = F.when(F.size(heads) < 2, True).otherwise(F.forall(F.sequence(F.lit(1), F.greatest(F.size(heads) - 1, F.lit(1))), lambda i: gap(i).between(0, distance)))
-
-                def move(near: Column) -> Column:
-                    goes = lambda s: F.when(near, F.exists(heads, lambda h: h["slot"] == s)).otherwise(F.get(heads, F.lit(0))["slot"] == s)
-                    at = F.transform(state["at"], lambda c, s: c + F.when(goes(s), 1).otherwise(0))
-                    taken = F.when(near, F.concat(state["hits"], F.transform(heads, lambda h: _hit(h["pos"], h["len"])))).otherwise(state["hits"])
-                    return _let(at, lambda a: F.struct(a.alias("at"), taken.alias("hits"), F.exists(F.sequence(F.lit(0), F.lit(slots - 1)), lambda s: F.get(a, s) >= F.size(F.get(lists, s))).alias("done")))
-
-                return _let(close, move)
-
-            return F.when(state["done"], state).otherwise(_let(under, lambda u: _let(alone(u), judge)))
-
-        start = F.struct(F.array(*[F.lit(0)] * slots).alias("at"), F.array().cast(HITS).alias("hits"), F.lit(False).alias("done"))
-        rounds = F.sequence(F.lit(1), F.aggregate(lists, F.lit(0), lambda n, x: n + F.size(x)))
-        return F.aggregate(rounds, start, step, lambda s: F.when(F.size(s["hits"]) > 0, s["hits"]))
-
-    whole = parts[0].isNotNull()
-    for p in parts[1:]:
-        whole = whole & p.isNotNull()
-    return F.when(whole, _let(F.array(*parts), walk))
+def walk(lists: Sequence[tuple[list[int], list[int]]], distance: int) -> tuple[list[int], list[int]]:
+    """The greedy walk over (positions, lengths) per operand: one cursor for each; a round takes the hits under the cursors
+    in order of position if each begins at most ``distance`` behind the end of the one before, and else moves the first."""
+    pos, length = [x[0] for x in lists], [x[1] for x in lists]
+    at, ends = [0] * len(lists), [len(p) for p in pos]
+    out: tuple[list[int], list[int]] = ([], [])
+    if not all(ends):
+        return out
+    while True:
+        # of operands at one position only the last takes part
+        heads = {pos[s][k]: s for s, k in enumerate(at)}
+        order = sorted(heads)
+        moved = [heads[p] for p in order]
+        for a, b in zip(order, order[1:]):
+            s = heads[a]
+            if not 0 <= b - (a + length[s][at[s]] - 1) <= distance:
+                moved = moved[:1]
+                break
+        else:
+            out[0].extend(order)
+            out[1].extend([length[s][at[s]] for s in moved])
+        for s in moved:
+            at[s] += 1
+            if at[s] == ends[s]:
+                return out
+
+
+def follow(lists: Sequence[tuple[list[int], list[int]]]) -> tuple[list[int], list[int]]:
+    """Hits of the first operand behind which every other one has a hit at its place."""
+    starts = [set(p) for p, _ in lists]
+    found = [p for p in lists[0][0] if all(p + k in s for k, s in enumerate(starts))]
+    return found, [len(lists)] * len(found)
+
+
+def _by_document(f: Callable[[Sequence[tuple[list[int], list[int]]]], tuple[list[int], list[int]]], parts: list[Column]) -> Column:
+    """``f`` of each document's lists, in time in proportion to their length; null where a list or the result is missing."""
+
+    def run(columns: pa.Array) -> pa.Array:
+        slots = [columns.field(k) for k in range(columns.type.num_fields)]
+        there = np.ones(len(columns), bool)
+        split = []
+        for c in slots:
+            there &= c.is_valid().to_numpy(zero_copy_only=False)
+            at, flat = c.offsets.to_numpy().tolist(), c.values
+            split.append((at, flat.field("pos").to_numpy(zero_copy_only=False), flat.field("len").to_numpy(zero_copy_only=False)))
+        sizes, pos, length = np.zeros(len(columns) + 1, np.int64), [], []
+        for k in np.flatnonzero(there).tolist():
+            p, n = f([(x[at[k] : at[k + 1]].tolist(), y[at[k] : at[k + 1]].tolist()) for at, x, y in split])
+            pos += p
+            length += n
+            sizes[k + 1] = len(p)
+        hits = pa.StructArray.from_arrays([pa.array(pos, pa.int64()), pa.array(length, pa.int64())], ["pos", "len"])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), hits, mask=pa.array(sizes[1:] == 0))
+
+    return F.arrow_udf(run, HITS)(F.struct(*[p.alias(f"p{k}") for k, p in enumerate(parts)]))
 
 
 def _node(expr: Expr, parts: list[Column], positions: Column) -> Column:
@@ -101,26 +138,21 @@ def _node(expr: Expr, parts: list[Column], positions: Column) -> Column:
     if isinstance(expr, Or):
         return _or_null(_merge([F.coalesce(p, F.array().cast(HITS)) for p in parts], ascending))
     if isinstance(expr, Adjacent):
-        return F.when(every, _or_null(F.transform(F.filter(parts[0], lambda h: _follow(h, parts[1:])), lambda h: _hit(h["pos"], F.lit(len(parts))))))
+        if not all(isinstance(c, Term) for c in expr.children):
+            return _by_document(follow, parts)
+        # positions of terms are ascending and each only once
+        starts = F.transform(parts[0], lambda h: h["pos"])
+        back = lambda k: lambda h: h["pos"] - k
+        for k, part in enumerate(parts[1:], 1):
+            starts = F.array_intersect(starts, F.transform(part, back(k)))
+        return F.when(every, _or_null(F.transform(starts, lambda p: _hit(p, F.lit(len(parts))))))
     if isinstance(expr, Near):
-        return _near(parts, expr.distance)
+        return _by_document(lambda lists: walk(lists, expr.distance), parts)
     if isinstance(expr, Not):
         return F.when(parts[1].isNull(), parts[0])
     raise TypeError(expr)
 
 
-def _follow(first: Column, parts: list[Column]) -> Column:
-    """Whether every further operand has a hit at its place behind the first."""
-
-    def at(part: Column, place: Column) -> Column:
-        return F.exists(part, lambda h: h["pos"] == place)
-
-    out = F.lit(True)
-    for k, part in enumerate(parts, 1):
-        out = out & at(part, first["pos"] + k)
-    return out
-
-
 def evaluate(docs: DataFrame, expr: Expr, positions: str) -> DataFrame:
     """``docs`` with ``hits``: its column ``positions`` is MAP<term, ARRAY<position>>.
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +12,8 @@ from .operators import ranges, score
 from .operators.index import Index, build_index, load
 from .operators.search import hit_counts, hits, numbered, perform_search, search, term_positions
 from .plans.query import Adjacent, And, Near, Not, Or, Term, leaves, parse_query, parse_syntax
-from .sources.documents import from_parquet, join_parts
+from .sources.documents import chapters, from_parquet, from_tsv, join_parts
+from .storage import shared_folder
 from .streaming.tokens import append_documents, load_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,9 +111,33 @@ def code_points(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", analysis.code_points(text).cast("long").alias("code_points"), analysis.utf8_bytes(text).cast("long").alias("utf8_bytes"))
 
 
-@_query("utf8_round_trip", "select doc_id, true as same from documents")
+@_query("utf8_round_trip", "select doc_id, md5(text) as encoded, md5(text) as decoded, cast(strlen(text) as bigint) as utf8_bytes from documents")
 def utf8_round_trip(spark, sf_dir):
-    return _documents(spark, sf_dir).select("doc_id", (F.decode(F.encode("text", "UTF-8"), "UTF-8") == F.col("text")).alias("same"))
+    """Digests of the text's bytes, and of those of the text that they are decoded to."""
+    data = F.encode("text", "UTF-8")
+    return _documents(spark, sf_dir).select("doc_id", F.md5(data).alias("encoded"), F.md5(F.encode(F.decode(data, "UTF-8"), "UTF-8")).alias("decoded"), F.length(data).cast("long").alias("utf8_bytes"))
+
+
+_CUT = 101  # bytes; cuts some characters in two
+
+
+@_query(
+    "valid_utf8",
+    f"""with c as (select doc_id, unnest(string_split(left(text, {_CUT}), '')) as ch, unnest(range(length(left(text, {_CUT})))) as i from documents where text <> ''),
+u as (select *, sum(strlen(ch)) over (partition by doc_id order by i) as upto from c)
+select doc_id, coalesce(string_agg(ch, '' order by i) filter (upto <= {_CUT}), '') || case when bool_or(upto > {_CUT} and upto - strlen(ch) < {_CUT}) then chr(65533) else '' end as text from u group by doc_id
+union all select doc_id, text from documents where text = ''""",
+)
+def valid_utf8(spark, sf_dir):
+    """The first bytes of each text, in which the last character may be incomplete."""
+    data = F.substring(F.encode("text", "UTF-8"), 1, _CUT)
+    return _documents(spark, sf_dir).where("text is not null").select("doc_id", analysis.valid_utf8(data).alias("text"))
+
+
+@_query("utf16", "select doc_id, cast(length(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10ffff}]')) as bigint) as utf16_units, md5(text) as decoded from documents")
+def utf16(spark, sf_dir):
+    text = F.col("text")
+    return _documents(spark, sf_dir).select("doc_id", analysis.utf16_units(text).alias("utf16_units"), F.md5(F.encode(analysis.from_utf16(analysis.utf16(text)), "UTF-8")).alias("decoded"))
 
 
 @_query("doc_stats", _WITH + " select doc_id, term_count from dl")
@@ -144,14 +168,14 @@ def term_frequency(spark, sf_dir):
 @_query("term_exists", _WITH + " select w as term, w in (select term from occ) as found from (values ('the'), ('that'), ('zzz'), ('The'), ('der'), ('')) as v(w)")
 def term_exists(spark, sf_dir):
     words = spark.createDataFrame([(w,) for w in ("the", "that", "zzz", "The", "der", "")], "term string")
-    there = _index(spark, sf_dir).postings_of(r.term for r in words.collect()).select("term").distinct().withColumn("found", F.lit(True))
-    return words.join(F.broadcast(there), "term", "left").select("term", F.coalesce("found", F.lit(False)).alias("found"))
+    there = _index(spark, sf_dir).terms.select("term", F.lit(True).alias("found"))
+    return words.join(there, "term", "left").select("term", F.coalesce("found", F.lit(False)).alias("found"))
 
 
 @_query("saved_index", _WITH + " select doc_id, count(*) as search_hit_count from occ where term = 'that' group by doc_id")
 def saved_index(spark, sf_dir):
     """The same search on an index that was saved and loaded."""
-    path = _folder(spark, "index")
+    path = shared_folder(spark, "index")
     _index(spark, sf_dir).save(path)
     return hit_counts(search(load(spark, path), "that"))
 
@@ -221,10 +245,24 @@ def search_near_distance(spark, sf_dir):
     return hits(perform_search(_index(spark, sf_dir), Near(Term("the"), Term("that"), distance=1)))
 
 
-@_query("search_near_three")
-def search_near_three(spark, sf_dir):
-    """Three operands, in emission order; tested against a model."""
-    return hits(search(_index(spark, sf_dir), "the ~ that ~ of"))
+def _near3(name: str, a: str, b: str, c: str, distance: int = 4) -> str:
+    """The walk of three cursors over lists that have no position in common."""
+    lists = ", ".join(f"{x}, l{x}" for x in "abc")
+    listed = lambda x, t: f"(select doc_id, list(term_pos order by term_pos) as {x}, list(term_len order by term_pos) as l{x} from {t} group by doc_id)"
+    heads = lambda *at: "list_sort([" + ", ".join(f"{{'p': {x}[{i}], 'l': l{x}[{i}], 's': {n}}}" for n, (x, i) in enumerate(zip("abc", at))) + "])"
+    near = " and ".join(f"h[{k + 1}].p - (h[{k}].p + h[{k}].l - 1) between 0 and {distance}" for k in (1, 2))
+    moved = ", ".join(f"{i} + case when ({near}) or h[1].s = {n} then 1 else 0 end as {i}" for n, i in enumerate("ijk"))
+    return f"""{name}_l as (select doc_id, {lists} from {listed("a", a)} join {listed("b", b)} using (doc_id) join {listed("c", c)} using (doc_id)),
+{name}_s(doc_id, i, j, k, step, h) as (
+  select doc_id, 1, 1, 1, 1, {heads(1, 1, 1)} from {name}_l
+  union all
+  select x.doc_id, x.i, x.j, x.k, x.step + 1, {heads("x.i", "x.j", "x.k")}
+  from (select doc_id, step, {moved} from {name}_s) x join {name}_l using (doc_id)
+  where x.i <= len(a) and x.j <= len(b) and x.k <= len(c)),
+{name} as (select doc_id, unnest(h).p as term_pos, unnest(h).l as term_len, step * 3 + unnest([0, 1, 2]) as slot from {name}_s where {near})"""
+
+
+_search("search_near_three", "the ~ that ~ of", ", ".join([_word("a", "the"), _word("b", "that"), _word("c", "of"), _near3("r", "a", "b", "c")]), "slot")
 
 
 @_query("search_non_ascii", f"{_WITH}, {_word('a', 'für')}, {_word('b', 'über')}, {_either('r', 'a', 'b')} {_hits('r', 'term_pos, slot')}")
@@ -324,6 +362,22 @@ def parts(spark, sf_dir):
     return join_parts(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id", "turn")
 
 
+@_query("chapters", "select cast(printf('%d%02d', conv_id, turn // 2) as bigint) as doc_id, string_agg(text, chr(92) || 'n' order by turn, text) as text from conversations group by conv_id, turn // 2")
+def chapters_of_turns(spark, sf_dir):
+    """Turns as verses, two to a chapter."""
+    verses = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("book"), F.expr("turn div 2").alias("chapter"), F.col("turn").alias("verse"), "text")
+    return chapters(verses)
+
+
+@_query("tab_separated", "select doc_id, regexp_replace(text, '[\t\r\n]', ' ', 'g') as text from documents")
+def tab_separated(spark, sf_dir):
+    """Documents that were written as lines of tab-separated fields and read again."""
+    path = shared_folder(spark, "tsv")
+    line = F.concat_ws("\t", F.col("doc_id").cast("string"), F.lit("x"), F.regexp_replace("text", r"[\t\r\n]", " "))
+    _documents(spark, sf_dir).select(line).write.text(path)
+    return from_tsv(spark, path, text_field=2)
+
+
 @_query("search_joined_parts", "with recursive g as (select conv_id, string_agg(text, chr(92) || 'n' order by turn, text) as text from conversations group by conv_id), " + _occ("g", "conv_id") + f", {_phrase('r', 'of', 'the')} {_hits('r', 'term_pos')}")
 def search_joined_parts(spark, sf_dir):
     return hits(search(build_index(parts(spark, sf_dir), id_col="conv_id", check=False), '"of the"'))
@@ -335,19 +389,10 @@ def search_pages(spark, sf_dir):
     return hits(perform_search(build_index(docs, check=False), And(Term("nav"), Term("footer"))))
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors reach: under spark.checkpoint.dir, or a local one where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    path = f"{base or tempfile.gettempdir()}/{name}-{spark._jvm.java.util.UUID.randomUUID()}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
 @_query("stream_index", _WITH + " select term, count(distinct doc_id) as df, count(*) as term_count from occ group by term")
 def stream_index(spark, sf_dir):
     """The dictionary of documents that came as a stream."""
-    path = _folder(spark, "stream")
+    path = shared_folder(spark, "stream")
     table = f"{sf_dir}/documents.parquet"
     schema = spark.read.parquet(table).schema
     # a stream reads a folder: the table's own, or the one that a single file is in

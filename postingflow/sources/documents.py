@@ -22,3 +22,9 @@ def join_parts(parts: DataFrame, by: str | list[str], order: str, text_col: str
     keys = [by] if isinstance(by, str) else by
     texts = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text_col).alias("t")))), lambda x: x["t"])
     return parts.groupBy(*keys).agg(F.array_join(texts, separator).alias("text"))
+
+
+def chapters(verses: DataFrame, *, book: str = "book", chapter: str = "chapter", verse: str = "verse", text_col: str = "text") -> DataFrame:
+    """(doc_id, text): the verses of each chapter put together, under the number book and chapter of two digits at least."""
+    whole = join_parts(verses.select(F.col(book).alias("b"), F.col(chapter).alias("c"), verse, text_col), ["b", "c"], verse, text_col)
+    return whole.select(F.format_string("%d%02d", F.col("b").cast("long"), F.col("c").cast("long")).cast("long").alias("doc_id"), "text")

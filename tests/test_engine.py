@@ -1,14 +1,16 @@
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from postingflow.__main__ import main
 from postingflow.functions import analysis
 from postingflow.operators import ranges, score
 from postingflow.operators import search as s
 from postingflow.operators.index import build_index, load
-from postingflow.plans.query import Adjacent, And, Near, Not, Or, Term, leaves, parse_query, parse_syntax
+from postingflow.plans.query import Adjacent, And, Near, Not, Or, Term, leaves, parse_query, parse_syntax, required
 from postingflow.queries import show
 from postingflow.sources.documents import from_tsv, join_parts
 from postingflow.streaming.tokens import append_documents, load_stream
@@ -220,6 +222,88 @@ def test_stream(spark, tmp_path):
     assert {r.doc_id for r in s.search(index, '"is the"').collect()} == {0, 1}
 
 
+def test_ids_of_other_batches(spark, tmp_path):
+    source, path = f"{tmp_path}/in", f"{tmp_path}/index"
+    for k in range(2):
+        spark.createDataFrame([(7, FIVE[k])], "doc_id long, text string").write.mode("append").parquet(source)
+        query = append_documents(spark.readStream.schema("doc_id long, text string").parquet(source), path, f"{tmp_path}/checkpoint")
+        if k:
+            with pytest.raises(Exception, match="document id 7 is repeated"):
+                query.awaitTermination()
+        else:
+            query.awaitTermination()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    table(spark, FIVE).write.parquet(f"{tmp_path}/docs")
+    assert main(["index", f"{tmp_path}/docs", f"{tmp_path}/index"]) == 0
+    assert main(["search", f"{tmp_path}/index", '"is the"']) == 0
+    assert capsys.readouterr().out.count("|") == 7 * 5
+    assert main(["search"]) == 2
+
+
+def test_long_documents(spark):
+    """Phrase and nearness in texts of 200,000 words take time in proportion to their length."""
+    n = 100_000
+    texts = ["a b " * n, "a x x x x x b " * (n // 4), "a " * n + "b " * n]
+    index = build_index(table(spark, texts))
+    begin = time.time()
+    assert {r.doc_id: len(r.hits) for r in s.perform_search(index, Adjacent(Term("a"), Term("b"))).collect()} == {0: n, 2: 1}
+    got = {r.doc_id: len(r.hits) for r in s.perform_search(index, Near(Term("a"), Term("b"))).collect()}
+    assert got == {k: len(h) for k, t in enumerate(texts) if (h := evaluate(Near(Term("a"), Term("b")), positions(t)))}
+    nested = And(Near(Term("a"), Term("b")), Adjacent(Or(Term("a"), Term("zzz")), Term("b")))
+    got = {r.doc_id: [(h.pos, h.len) for h in r.hits] for r in s.perform_search(index, nested).collect()}
+    assert got == {k: h for k, t in enumerate(texts) if (h := evaluate(nested, positions(t)))}
+    assert time.time() - begin < 60
+
+
+def test_rare_word_prunes(five):
+    expr = parse_query(five, "the sentence")
+    assert required(expr) == {"the", "sentence"} and required(Or(Term("a"), And(Term("a"), Term("b")))) == {"a"} == required(Not(Term("a"), Term("b")))
+    plan = s.perform_search(five, expr)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "strategy=broadcast" in plan
+    assert [r.doc_id for r in s.perform_search(five, expr).collect()] == [2]
+    assert five.known["sentence"] == 1 and five.dfs(["zzz", "the"]) == {"zzz": 0, "the": 3}
+
+
+def test_numbers_of_far_ids(spark):
+    ids = [-(2**62), *range(40), 2**62, 2**62 + 1]
+    result = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    for rows in (1, 7, 1000):
+        assert {r.doc_id: r.i for r in s.numbered(result, rows_per_task=rows).collect()} == {i: k for k, i in enumerate(ids)}
+
+
+def test_deep_queries():
+    assert parse_syntax("(" * 150 + "a" + ")" * 150) == Term("a") and parse_syntax("(" * 3000 + "a" + ")" * 3000) is None
+
+
+def test_ranged_index(spark, tmp_path):
+    docs = table(spark, FIVE).orderBy(F.rand(1))
+    build_index(docs, ranged=True).save(path := f"file://{tmp_path}/index")
+    index = load(spark, path)
+    assert found(index, '"is the"')[1] == {0: [(1, 2, 5, 6)], 1: [(1, 2, 5, 6)], 2: [(1, 2, 5, 6), (6, 2, 33, 6)]}
+    plan = ranges.text_ranges(index, s.search(index, "sentence"))._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(doc_id,2)" in plan or "In(doc_id" in plan
+
+
+def test_saving_analyses_once(spark, tmp_path):
+    """Texts are read for the forward table only; everything else is read from that."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def words(text):
+        calls.add(1)
+        return (text or "").split()
+
+    none = lambda t: F.struct(F.array().cast("array<bigint>").alias("starts"), F.array().cast("array<bigint>").alias("lengths"))
+    once = analysis.Analyzer(tokens=words, ranges=none, normalize=analysis.identity)
+    build_index(table(spark, FIVE), analyzer=once).save(f"file://{tmp_path}/index")
+    assert calls.value == len(FIVE)
+
+
 def test_plan_is_one_shuffle(five):
     plan = s.perform_search(five, And(Term("the"), Or(Term("second"), Near(Term("first"), Term("document")))))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1 and "PushedFilters: [In(term" in plan
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Exchange") == 1 + plan.count("BroadcastExchange") and "PushedFilters: [In(term" in plan
+    lazy = s.perform_search(build_index(five.forward.select("doc_id", F.array_join("terms", " ").alias("text"))), Near(Term("the"), Term("document")))
+    plan = lazy._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
