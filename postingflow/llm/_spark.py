@@ -1,15 +1,14 @@
-"""Session helpers: tables, the folder that all executors share, and tables written to cut lineage."""
+"""Session helpers: tables, and tables written to the folder that all executors share, to cut lineage."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import remove, shared_folder
 
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_DEFAULT, BATCH_BYTES = "67108864b", str(8 << 20)
@@ -19,34 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, as a URI; one of this process's own only in local mode where that is unset."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        current = sc._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
-        named = sc._jsc.sc().getCheckpointDir().get()
-    path, files = _hadoop(spark, named)
-    return re.sub("^file:/+", "file:///", files.makeQualified(path).toString())
-
-
-def _hadoop(spark: SparkSession, path: str):
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """URI of a new folder in the shared folder, for files that tasks write; removed when the application ends."""
-    path, files = _hadoop(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    files.deleteOnExit(path)
-    return path.toString().replace("file:/", "file:///", 1) if path.toString().startswith("file:/") and not path.toString().startswith("file:///") else path.toString()
-
-
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """Arrow's file system of a URI, and the path in it; Hadoop's names of S3 are known too."""
     return pafs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
@@ -75,8 +46,7 @@ def removed(*tables: DataFrame) -> None:
     """Deletes written tables that nothing will read again."""
     for df in tables:
         for file in df.inputFiles()[:1]:
-            path, files = _hadoop(df.sparkSession, file.rsplit("/", 1)[0])
-            files.delete(path, True)
+            remove(df.sparkSession, file.rsplit("/", 1)[0])
 
 
 def quoted(name: str) -> Column:
@@ -96,8 +66,3 @@ def unpacked(rows: DataFrame, columns: list[str], new: dict[str, Column]) -> Dat
     """The packed columns again, in their order, and the new ones behind them in place of those so named, in any case."""
     taken = {c.lower() for c in new}
     return rows.select(*[of_row(c).alias(c) for c in columns if c.lower() not in taken], *[v.alias(c) for c, v in new.items()])
-
-
-def words_of(text: Column | str) -> Column:
-    """Lower-cased words as SQL sees them: the runs of ASCII letters, digits and non-ASCII characters."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9\x{80}-\x{10ffff}]+)"), F.lit(1))

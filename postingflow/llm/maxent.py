@@ -1,10 +1,10 @@
 """Hashed maximum-entropy language model: n-gram and skip features, class-factored softmax, distributed gradients.
 
-Outcomes are the most frequent words of the whole corpus and hash buckets for all others, CLASSES x SIZE of them in
-classes by rank. A position's features are a bias, the previous word, the previous two, and two skips, all by the words
-themselves; P(outcome) = P(class | features) * P(outcome | class, features), each a softmax over a sum of hashed weight
-rows, so a position costs one class row and one outcome row per feature instead of a row per outcome. The number of
-weight rows grows with the vocabulary.
+Outcomes are the most frequent words of the whole corpus and hash buckets for all others, in classes, groups of a class and
+places of a group by rank. A position's features are the previous word, the previous two, and two skips, all by the words
+themselves; P(outcome) = P(class | features) * P(group | class, features) * P(place | group, features), each a softmax over the
+logarithm of its share in the corpus and a sum of hashed weight rows, so a position costs three short rows per feature
+instead of a row per outcome. Classes, own words, buckets and weight rows grow with the vocabulary.
 
 A word in a bucket is scored as P(bucket | features) * P(word | bucket), the latter from the counts of all words of the
 corpus (``Words``). Those of the HEAD most frequent are known to every task; all others meet their counts by a join, so
@@ -25,17 +25,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytes import WORD, flat, mix, slices, span_hashes, spans
-from ._spark import table, written
+from ._spark import of_row, packed, quoted, table, unpacked, written
 
-CLASSES, SIZE = 32, 32
-KNOWN = 24 * SIZE  # outcomes that are words of their own; the last 8 classes are buckets
-HEAD = 1 << 16  # words whose counts every task knows
-ROWS = 1 << 14  # weight rows per part of the model (classes; words), at least
+CLASSES, GROUPS, PLACES = 16, 16, 32  # classes at least
+PER_CLASS = 1 << 18  # different words for each class, which from there on grow as the square root of their number
+HEAD = 1 << 16  # words whose counts every task knows, at least
+ROWS = 1 << 14  # weight rows per part of the model, at least
 PER_ROW = 1 << 18  # different words from which on the rows grow, as the square root of their number
 BLOCK = 1 << 10  # rows that one reducer adds at a time
 ROUNDS = 4
-RATE = 0.25
-FEATURES = 5
+RATE = 0.3
+DAMP = 30.0  # squared gradient of a weight that has no evidence yet: rare features move little
+FEATURES = 4
 STEP = 1 << 15  # positions in one numpy step
 SLICE = 1 << 20
 
@@ -79,11 +80,6 @@ def counted(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(_count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def outcomes(texts: DataFrame) -> np.ndarray:
-    """Hashes of the corpus' KNOWN most frequent words (ties by hash), most frequent first; counted over all texts."""
-    return np.array([r.h for r in counted(texts).orderBy(F.desc("n"), "h").limit(KNOWN).collect()], np.int64).view(np.uint64)
-
-
 def rows_for(words: int) -> int:
     """Weight rows for a vocabulary: a power of two, twice as many for four times the words."""
     rows = ROWS
@@ -92,43 +88,58 @@ def rows_for(words: int) -> int:
     return rows
 
 
+def classes_for(words: int) -> int:
+    """Classes for a vocabulary: a power of two, twice as many for four times the words."""
+    classes = CLASSES
+    while words > PER_CLASS * CLASSES * (classes // CLASSES) ** 2:
+        classes *= 2
+    return classes
+
+
 class Words:
     """Counts of all words of a corpus, which give P(word | bucket) = n(word) / (n(bucket) + 1).
 
     The rest of a bucket's probability is that of words that the corpus lacks, taken together. ``table`` is (h, n) of all
-    words; ``head`` and ``n`` are the most frequent ones by hash, ``known`` the model's own by frequency.
+    words; ``head`` and ``n`` are the most frequent ones by hash, ``known`` the model's own by frequency (ties by hash).
+    Three quarters of the outcomes are own words, the rest buckets. ``count`` is how often each outcome occurs.
     """
 
     def __init__(self, texts: DataFrame) -> None:
         self.table = written(counted(texts), "word-counts")
-        top = self.table.orderBy(F.desc("n"), "h").limit(HEAD).toArrow()
+        self.size = self.table.count()
+        outcomes = classes_for(self.size) * GROUPS * PLACES
+        own, buckets = outcomes * 3 // 4, outcomes // 4
+        top = self.table.orderBy(F.desc("n"), "h").limit(max(HEAD, own)).toArrow()
         h, n = top["h"].to_numpy().astype(np.int64).view(np.uint64), top["n"].to_numpy().astype(np.int64)
-        self.known = h[:KNOWN]
+        self.known = h[:own]
         order = np.argsort(h)
         self.head, self.n = h[order], n[order]
-        buckets = CLASSES * SIZE - KNOWN
-        self.bucket, self.size = np.zeros(buckets, np.int64), 0
-        for r in self.table.groupBy(F.col("h").bitwiseAND(buckets - 1).alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("size")).collect():
+        self.bucket = np.zeros(buckets, np.int64)
+        for r in self.table.groupBy(F.col("h").bitwiseAND(buckets - 1).alias("b")).agg(F.sum("n").alias("n")).collect():
             self.bucket[r.b] = r.n
-            self.size += r.size
-        np.subtract.at(self.bucket, (self.known % np.uint64(buckets)).astype(np.int64), n[:KNOWN])
+        np.subtract.at(self.bucket, (self.known % np.uint64(buckets)).astype(np.int64), n[:own])
+        self.count = np.concatenate([n[:own], np.zeros(own - len(self.known), np.int64), self.bucket])
 
     def tasks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return self.head, self.n, self.bucket
 
 
 class Model:
-    """Weights of both parts: ``up`` for classes, ``down`` for words within classes; one row per hashed feature."""
+    """``weights`` of the three parts, classes, groups and places: one row per hashed feature; and ``base``, the logarithms
+    of the outcomes' shares in the corpus. ``known`` are the own words by frequency, ``count`` how often outcomes occur."""
 
-    def __init__(self, known: np.ndarray, rows: int = ROWS) -> None:
+    def __init__(self, known: np.ndarray, count: np.ndarray, rows: int = ROWS) -> None:
         order = np.argsort(known)
         self.known, self.rank = known[order], order.astype(np.int32)
-        self.up, self.down = np.zeros((rows, CLASSES), np.float32), np.zeros((rows, SIZE), np.float32)
+        self.own, self.buckets = len(count) * 3 // 4, len(count) // 4
+        tree = count.reshape(-1, GROUPS, PLACES).astype(np.float64)
+        log = lambda n: np.log((n + 1) / (n.sum(-1, keepdims=True) + n.shape[-1])).astype(np.float32)
+        self.base = [log(tree.sum((1, 2)))[None], log(tree.sum(2)), log(tree).reshape(-1, PLACES)]
+        self.weights = [np.zeros((rows, b.shape[1]), np.float32) for b in self.base]
 
     def outcome(self, h: np.ndarray) -> np.ndarray:
         """Number of each word's outcome."""
-        buckets = CLASSES * SIZE - KNOWN
-        out = (KNOWN + (h % np.uint64(buckets)).astype(np.int32)).astype(np.int32)
+        out = (self.own + (h % np.uint64(self.buckets)).astype(np.int32)).astype(np.int32)
         if len(self.known):
             at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
             hit = self.known[at] == h
@@ -137,33 +148,35 @@ class Model:
 
     @staticmethod
     def features(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Hashes (n, FEATURES): bias, w-1, (w-2, w-1), skip w-2, skip w-3 by word hashes; a text begins with marks."""
+        """Hashes (n, FEATURES): w-1, (w-2, w-1), skip w-2, skip w-3 by word hashes; a text begins with marks."""
         n = len(h)
         before = []
         for k in (1, 2, 3):
-            p = np.full(n, CLASSES * SIZE, np.uint64)
+            p = np.full(n, 1, np.uint64)
             if n > k:
                 same = rows[k:] == rows[:-k]
                 p[k:][same] = h[:-k][same]
             before.append(p)
         a, b, c = before
         with np.errstate(over="ignore"):
-            zero = np.zeros(n, np.uint64)
-            parts = [zero, a + np.uint64(1 << 20), a * np.uint64(0x9FB21C651E98DF25) + b + np.uint64(1 << 40), b + np.uint64(2 << 20), c + np.uint64(3 << 20)]
+            parts = [a + np.uint64(1 << 20), a * np.uint64(0x9FB21C651E98DF25) + b + np.uint64(1 << 40), b + np.uint64(2 << 20), c + np.uint64(3 << 20)]
             return mix(np.stack(parts, 1) * np.uint64(0x9E3779B97F4A7C15))
 
-    def places(self, f: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the class part and of the word part; the latter depend on the class."""
-        last = np.uint64(len(self.up) - 1)
-        up = (f >> np.uint64(20)) & last
-        with np.errstate(over="ignore"):
-            down = mix(f + (c.astype(np.uint64) + np.uint64(1))[:, None] * np.uint64(0xD6E8FEB86659FD93)) & last
-        return up.astype(np.int64), down.astype(np.int64)
+    def parts(self, f: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each part: weight rows (n, FEATURES), which depend on what was chosen before; row of the base; true column."""
+        last = np.uint64(len(self.weights[0]) - 1)
+        group = y // PLACES
+        yield ((f >> np.uint64(20)) & last).astype(np.int64), np.zeros(len(y), np.int64), group // GROUPS
+        for chosen, column in ((group // GROUPS, group % GROUPS), (group, y % PLACES)):
+            with np.errstate(over="ignore"):
+                salt = (chosen.astype(np.uint64) * np.uint64(2) + np.uint64(chosen is group) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+                at = mix(f + salt[:, None]) & last
+            yield at.astype(np.int64), chosen, column
 
     @staticmethod
-    def softmax(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
-        s = weights[at[:, 0]]
-        for k in range(1, FEATURES):
+    def softmax(weights: np.ndarray, base: np.ndarray, at: np.ndarray, row: np.ndarray) -> np.ndarray:
+        s = base[row] if len(base) > 1 else np.repeat(base, len(at), 0)
+        for k in range(FEATURES):
             s += weights[at[:, k]]
         s -= s.max(1, keepdims=True)
         np.exp(s, out=s)
@@ -171,128 +184,119 @@ class Model:
         return s
 
     def steps(self, h: np.ndarray, rows: np.ndarray) -> Iterator[tuple]:
-        """(range, places, probabilities, true columns) of both parts, a step of positions at a time."""
+        """(first position, part, weight rows, probabilities, true columns), a step of positions at a time."""
         y = self.outcome(h)
         f = self.features(h, rows)
         for a in range(0, len(y), STEP):
-            b = min(a + STEP, len(y))
-            c, w = y[a:b] // SIZE, y[a:b] % SIZE
-            up, down = self.places(f[a:b], c)
-            yield a, b, up, down, self.softmax(self.up, up), self.softmax(self.down, down), c, w
+            for part, (at, row, column) in enumerate(self.parts(f[a : a + STEP], y[a : a + STEP])):
+                yield a, part, at, self.softmax(self.weights[part], self.base[part], at, row), column
 
     def score(self, h: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Natural log probability of each word's outcome."""
-        out = np.empty(len(h), np.float64)
-        for a, b, _, _, p, q, c, w in self.steps(h, rows):
-            n = np.arange(b - a)
-            out[a:b] = np.log(np.maximum(p[n, c], 1e-30).astype(np.float64)) + np.log(np.maximum(q[n, w], 1e-30).astype(np.float64))
+        out = np.zeros(len(h), np.float64)
+        for a, _, at, p, column in self.steps(h, rows):
+            out[a : a + len(at)] += np.log(np.maximum(p[np.arange(len(at)), column], 1e-30).astype(np.float64))
         return out
 
-    def gradient(self, h: np.ndarray, rows: np.ndarray, g_up: np.ndarray, g_down: np.ndarray) -> None:
-        """Adds the gradient of the log likelihood."""
-        for a, b, up, down, p, q, c, w in self.steps(h, rows):
-            n = np.arange(b - a)
-            for g, at, d, t in ((g_up, up, p, c), (g_down, down, q, w)):
-                np.negative(d, out=d)
-                d[n, t] += 1.0
-                where = at.T.ravel()
-                columns = np.ascontiguousarray(d.T, dtype=np.float64)
-                for k, column in enumerate(columns):  # a count of weighted rows needs no sort
-                    g[:, k] += np.bincount(where, np.tile(column, FEATURES), len(g))
+    def gradient(self, h: np.ndarray, rows: np.ndarray, sums: list[np.ndarray]) -> None:
+        """Adds the gradient of the log likelihood to the sums of each part."""
+        for _, part, at, d, column in self.steps(h, rows):
+            np.negative(d, out=d)
+            d[np.arange(len(at)), column] += 1.0
+            where = at.T.ravel()
+            g = sums[part]
+            for k, values in enumerate(np.ascontiguousarray(d.T, dtype=np.float64)):  # a count of weighted rows needs no sort
+                g[:, k] += np.bincount(where, np.tile(values, FEATURES), len(g))
+
+    def zeros(self) -> list[np.ndarray]:
+        return [np.zeros(w.shape[::-1]).T for w in self.weights]
+
+    def move(self, part: int, block: int, g: np.ndarray, squares: list[np.ndarray], rate: float) -> None:
+        """An AdaGrad step of some rows by their gradient sums over the corpus."""
+        rows = slice(block * BLOCK, (block + 1) * BLOCK)
+        squares[part][rows] += g * g
+        self.weights[part][rows] += rate * g / np.sqrt(squares[part][rows] + DAMP)
 
 
 def _gradients(spread):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = spread.value
-        size = len(model.up)
-        g_up, g_down, n = np.zeros((CLASSES, size)).T, np.zeros((SIZE, size)).T, 0
+        sums, n = model.zeros(), 0
         for batch in batches:
             for _, _, h, rows in _words(batch.column(0)):
-                model.gradient(h, rows, g_up, g_down)
+                model.gradient(h, rows, sums)
                 n += len(h)
         if not n:
             return
-        for part, g in enumerate((g_up, g_down)):
-            for block in range(size // BLOCK):
+        for part, g in enumerate(sums):
+            for block in range(len(g) // BLOCK):
                 some = g[block * BLOCK : (block + 1) * BLOCK].astype(np.float32, order="C")
                 at = np.flatnonzero(some.any(1))
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([n], pa.int64()), pa.array([at.astype(np.uint16).tobytes()]), pa.array([some[at].tobytes()])], ["part", "block", "n", "at", "g"])
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([at.astype(np.uint16).tobytes()]), pa.array([some[at].tobytes()])], ["part", "block", "at", "g"])
 
     return run
 
 
 def _add(key: tuple, groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, block = (k.as_py() for k in key)
-    width, n = (CLASSES, SIZE)[part], 0
-    total = np.zeros((BLOCK, width), np.float64)
+    total = None
     for batch in groups:
-        for m, at, g in zip(batch.column("n").to_pylist(), batch.column("at").to_pylist(), batch.column("g").to_pylist()):
-            rows = np.frombuffer(at, np.uint16)
-            total[rows] += np.frombuffer(g, np.float32).reshape(len(rows), width)
-            n += m
-    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([n], pa.int64()), pa.array([total.astype(np.float32).tobytes()])], ["part", "block", "n", "g"])
+        for at, g in zip(batch.column("at").to_pylist(), batch.column("g").to_pylist()):
+            rows, g = np.frombuffer(at, np.uint16), np.frombuffer(g, np.float32)
+            if len(rows):
+                total = np.zeros((BLOCK, len(g) // len(rows))) if total is None else total
+                total[rows] += g.reshape(len(rows), -1)
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([total.astype(np.float32).tobytes()])], ["part", "block", "g"])
 
 
 def lowered(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    return docs.select(F.lower(F.col(text_col)).alias("text")).where("text is not null")
+    return docs.select(F.lower(quoted(text_col)).alias("text")).where("text is not null")
 
 
-def train(docs: DataFrame, *, text_col: str = "text", rounds: int = ROUNDS, rate: float = RATE, words: Words | None = None) -> Model:
-    """A model of all texts: every text gives its gradient once. Null, empty and wordless texts give nothing; without any
-    word all outcomes stay equally likely. With ``words``, counted before, the model's size follows their number."""
+def train(docs: DataFrame, words: Words, *, text_col: str = "text", rounds: int = ROUNDS, rate: float = RATE) -> Model:
+    """A model of all texts: every text gives its gradient once. ``words`` are their counts, and the model's size follows
+    their number. Null, empty and wordless texts give nothing; without any word all outcomes stay equally likely."""
     spark = docs.sparkSession
     texts = lowered(docs, text_col)
-    model = Model(outcomes(texts)) if words is None else Model(words.known, rows_for(words.size))
-    squares = [np.zeros_like(model.up), np.zeros_like(model.down)]
+    model = Model(words.known, words.count, rows_for(words.size))
+    squares = [np.zeros_like(w) for w in model.weights]
     for k in range(rounds):
         spread = spark.sparkContext.broadcast(model)
         part = texts.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k)
         part = part.coalesce(2 * spark.sparkContext.defaultParallelism)  # every task sends sums of the model's size
-        sums = part.mapInArrow(_gradients(spread), "part int, block int, n bigint, at binary, g binary").groupBy("part", "block").applyInArrow(_add, "part int, block int, n bigint, g binary")
+        sums = part.mapInArrow(_gradients(spread), "part int, block int, at binary, g binary").groupBy("part", "block").applyInArrow(_add, "part int, block int, g binary")
         for r in sums.collect():  # of the model's size
-            weights, square = (model.up, model.down)[r.part], squares[r.part]
-            rows = slice(r.block * BLOCK, (r.block + 1) * BLOCK)
-            # the sum over the corpus, not the mean over rows: rare features learn as fast as frequent ones by AdaGrad
-            g = np.frombuffer(r.g, np.float32).reshape(BLOCK, -1)
-            square[rows] += g * g
-            weights[rows] += rate * g / np.sqrt(square[rows] + 1.0)
+            model.move(r.part, r.block, np.frombuffer(r.g, np.float32).reshape(BLOCK, -1), squares, rate)
         spread.destroy()
     return model
 
 
-def score(docs: DataFrame, model: Model, *, text_col: str = "text", words: Words | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Model, words: Words, *, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lm_words`` (bigint), ``lm_logprob`` (sum of natural logs) and ``lm_perplexity``; they replace
-    columns so named.
+    columns so named, and columns of any other name stay.
 
-    With ``words`` the probabilities are of words; without, of outcomes, that is of buckets for all but the model's own
-    words. Null, empty and wordless texts have 0 words, log probability 0 and null perplexity. Rows are scored one by
-    one, whole texts at a time, so ties, repeated rows and null ids change nothing; an empty table gives an empty table.
+    Null, empty and wordless texts have 0 words, log probability 0 and null perplexity. Rows are scored one by one, whole
+    texts of any length at a time, so ties, repeated rows and null ids change nothing; an empty table gives an empty table.
     """
-    spread = docs.sparkSession.sparkContext.broadcast((model, words.tasks() if words is not None else None))
+    spread = docs.sparkSession.sparkContext.broadcast((model, words.tasks()))
 
     def run(texts: pa.Array) -> pa.Array:
         model, counts = spread.value
         n_words, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
         for i, n, h, rows in _words(texts):
-            logs = model.score(h, rows)
-            if counts is not None:
-                logs += within(model, counts, h)[0]
+            logs = model.score(h, rows) + within(model, counts, h)[0]
             n_words[i : i + n] = np.bincount(rows, minlength=n)
             total[i : i + n] = np.bincount(rows, logs, n)
         return pa.StructArray.from_arrays([pa.array(n_words), pa.array(total)], ["n", "logprob"])
 
-    new = ["lm_words", "lm_logprob", "lm_perplexity"]
     udf = F.arrow_udf(run, "n bigint, logprob double").asNondeterministic()  # so that a filter doesn't run it twice
-    low = F.lower(F.col(text_col))
-    kept = [c for c in docs.columns if c not in new]
-    if words is None:
-        scored = docs.select(*kept, udf(low).alias("__lm")).withColumn("__rare", F.lit(0.0))
-    else:
-        rare = rare_words(docs, spread, words, text_col)
-        scored = docs.select(*kept, udf(low).alias("__lm"), F.xxhash64(low).alias("__key")).join(rare, "__key", "left").drop("__key")
-    n, logprob = F.col("__lm.n"), F.col("__lm.logprob") + F.coalesce("__rare", F.lit(0.0))
+    low = F.lower(of_row(text_col))
+    rare = rare_words(docs, spread, words, text_col)
+    scored = packed(docs).select("row", udf(low).alias("lm"), F.xxhash64(low).alias("key")).join(rare, "key", "left")
+    n, logprob = F.col("lm.n"), F.col("lm.logprob") + F.coalesce("rare", F.lit(0.0))
     perplexity = F.when(n > 0, F.round(F.exp(F.least(-logprob / n, F.lit(700.0))), 3))
-    return scored.select(*kept, n.alias(new[0]), F.round(logprob, 3).alias(new[1]), perplexity.alias(new[2]))
+    return unpacked(scored, docs.columns, {"lm_words": n, "lm_logprob": F.round(logprob, 3), "lm_perplexity": perplexity})
 
 
 def within(model: Model, counts: tuple, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -301,8 +305,8 @@ def within(model: Model, counts: tuple, h: np.ndarray) -> tuple[np.ndarray, np.n
     head, n, bucket = counts
     y = model.outcome(h)
     out = np.zeros(len(h))
-    inside = y >= KNOWN
-    out[inside] = -np.log(bucket[y[inside] - KNOWN] + 1.0)
+    inside = y >= model.own
+    out[inside] = -np.log(bucket[y[inside] - model.own] + 1.0)
     rare = inside
     if len(head):
         at = np.minimum(np.searchsorted(head, h), len(head) - 1)
@@ -314,7 +318,7 @@ def within(model: Model, counts: tuple, h: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def rare_words(docs: DataFrame, spread, words: Words, text_col: str) -> DataFrame:
-    """(__key, __rare): sum of the log counts of a text's words outside the head, by the text's hash.
+    """(key, rare): sum of the log counts of a text's words outside the head, by the text's hash.
 
     A word that the corpus lacks counts as one. Copies of a text have the same key; each of them states its words, and
     its part of ``copies``.
@@ -333,15 +337,15 @@ def rare_words(docs: DataFrame, spread, words: Words, text_col: str) -> DataFram
                 first[np.unique(row, return_index=True)[1]] = 1
                 yield pa.RecordBatch.from_arrays([pa.array(keys[i + row]), pa.array(h.view(np.int64)), pa.array(times.astype(np.int32)), pa.array(first)], ["key", "h", "times", "copies"])
 
-    low = F.lower(F.col(text_col))
+    low = F.lower(quoted(text_col))
     said = docs.select(low.alias("text"), F.xxhash64(low).alias("key")).where("text is not null").mapInArrow(run, "key bigint, h bigint, times int, copies int")
     # words that occur once in the corpus have log count 0, as have those that it lacks
     met = said.join(words.table.where("n > 1").withColumnRenamed("n", "count"), "h", "left")
-    by_text = met.groupBy(F.col("key").alias("__key")).agg(F.sum(F.col("times") * F.log(F.coalesce("count", F.lit(1)).cast("double"))).alias("s"), F.sum("copies").alias("copies"))
-    return by_text.select("__key", (F.col("s") / F.col("copies")).alias("__rare"))
+    by_text = met.groupBy("key").agg(F.sum(F.col("times") * F.log(F.coalesce("count", F.lit(1)).cast("double"))).alias("s"), F.sum("copies").alias("copies"))
+    return by_text.select("key", (F.col("s") / F.col("copies")).alias("rare"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     words = Words(lowered(docs))
-    return score(docs, train(docs, words=words), words=words).drop("text")
+    return score(docs, train(docs, words), words).drop("text")

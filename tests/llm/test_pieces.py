@@ -42,8 +42,11 @@ def test_query(spark, truth):
 def test_edges(spark, model, truth):
     texts = [None, "", " ", "hello  world ", "a b", "a b", "x" * 100000, "word " * 30000, "▁", "nül\u0000l", "퟿\U0010ffff"]
     df = spark.createDataFrame([(None if k == 4 else k, t) for k, t in enumerate(texts)], "doc_id long, text string").withColumn("ids", F.lit(1)).withColumn("piece_ids", F.lit("clash")).withColumn("same", F.lit(1))
+    for c in ("__new", "new", "row", "a.b", "DECODES"):
+        df = df.withColumn(c, F.lit("mine"))
     got = op.encode(df, model)
-    assert got.columns == ["doc_id", "text", "ids", "same", "piece_ids", "decodes"]
+    assert got.columns == ["doc_id", "text", "ids", "same", "__new", "new", "row", "a.b", "piece_ids", "decodes"]
+    assert got.where("`a.b` = 'mine' and new = 'mine' and row = 'mine'").count() == len(texts)
     for r in op.decode(got, model).collect():
         if r.text is None:
             assert r.piece_ids == [] and r.decodes is None and r.decoded == ""
