@@ -193,35 +193,38 @@ def dedup(new: DataFrame, number: int, snapshots: list[Snapshot], *, id_col: str
     return whole.join(mixed, ["h", "d"], "left_anti").select(*told(F.col("id"), keep, again)).unionByName(exact.select(*told(F.col("id"), F.col("keep"), F.col("again"))))
 
 
+def dedup_in_order(batches: list[tuple[int, DataFrame]], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``dedup`` of batch after batch, by ascending numbers; each becomes a snapshot, once, for those after it, the newest none."""
+    out, snapshots = None, []
+    for number, new in batches:
+        found = dedup(new, number, snapshots, id_col=id_col, text_col=text_col)
+        out = found if out is None else out.unionByName(found)
+        if number != batches[-1][0]:
+            snapshots.append(build_snapshot(new, number, id_col=id_col, text_col=text_col))
+    return out
+
+
 def exact_dedup(docs: DataFrame, batch: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``(doc_id, batch, keep_id, is_duplicate)``, batch after batch, as ``dedup`` has them.
 
-    ``batch`` numbers the batches in order of arrival (int, not null); each becomes a snapshot, once, for those after it,
-    the newest none. Empty tables give none.
+    ``batch`` numbers the batches in order of arrival (int, not null). Empty tables give none.
     """
     numbers = sorted(r.b for r in docs.select(batch.cast("int").alias("b")).distinct().collect())
-    out, snapshots = None, []
-    for b in numbers:
-        new = docs.where(batch.cast("int") == b)
-        found = dedup(new, b, snapshots, id_col=id_col, text_col=text_col)
-        out = found if out is None else out.unionByName(found)
-        if b != numbers[-1]:
-            snapshots.append(build_snapshot(new, b, id_col=id_col, text_col=text_col))
-    return out if out is not None else docs.select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("batch"), F.lit(None).cast("long").alias("keep_id"), F.lit(False).alias("is_duplicate")).limit(0)
+    return dedup_in_order([(b, docs.where(batch.cast("int") == b)) for b in numbers] or [(0, docs.limit(0))], id_col=id_col, text_col=text_col)
 
 
-def arrival(docs: DataFrame, batches: int = BATCHES) -> Column:
-    """Batch number from equal ranges of doc_id, oldest first; rows without id come last."""
+def arrival(docs: DataFrame, batches: int = BATCHES) -> list[tuple[int, DataFrame]]:
+    """Batches by equal ranges of doc_id, oldest first; rows without id come last."""
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     if low is None:
-        return F.lit(batches - 1)
-    number = F.expr(f"((doc_id - {low}L) * {batches}) div {high - low + 1}L")
-    return F.coalesce(number, F.lit(batches - 1)).cast("int")
+        return [(batches - 1, docs)]
+    cut = [low + -(-b * (high - low + 1) // batches) for b in range(batches + 1)]
+    last = lambda b: F.col("doc_id").isNull() if b == batches - 1 else F.lit(False)
+    return [(b, docs.where((F.col("doc_id") >= cut[b]) & (F.col("doc_id") < cut[b + 1]) | last(b))) for b in range(batches)]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return exact_dedup(docs, arrival(docs))
+    return dedup_in_order(arrival(table(spark, sf_dir, "documents")))
 
 
 SQL = f"""

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._spark import table, written
+from ._spark import quoted, table, written
 
 CAPACITY = 2048
 ROWS_PER_SHARD = 1 << 18
@@ -89,21 +89,22 @@ def pack(docs: DataFrame, length: Column | None = None, *, id_col: str = "doc_id
 
     ``length`` gives a row's tokens (default: words and an end mark). Pieces of a row are numbered from 0 and cover its
     tokens in order. Rows of length 0 (null and empty texts among them) or null length have one row with length 0 and
-    null bin, so no row is lost. Rows that repeat an id, or the whole row, are packed each for itself; ties of length are
-    taken in the order of hash of id, then id (null first). Other columns are ignored; an empty table gives no row.
+    null bin, so no row is lost. Rows that repeat an id, or the whole row, are packed each for itself, null ids too; ties of
+    length are taken in the order of a hash of id and place in the input, so that no id is one task. A text of any length
+    is counted whole and cut. Other columns are ignored; an empty table gives no row.
     """
-    tokens = F.coalesce(length if length is not None else words_and_end(F.col(text_col)), F.lit(0)).cast("long")
-    rows = written(docs.select(F.col(id_col).alias("doc_id"), F.greatest(tokens, F.lit(0)).alias("n")), "lengths")
+    tokens = F.coalesce(length if length is not None else words_and_end(quoted(text_col)), F.lit(0)).cast("long")
+    rows = written(docs.select(quoted(id_col).alias("doc_id"), F.greatest(tokens, F.lit(0)).alias("n"), F.monotonically_increasing_id().alias("row")), "lengths")
     spark = rows.sparkSession
     none = rows.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("length"), F.lit(None).cast("long").alias("bin"), F.lit(None).cast("long").alias("offset"))
     histogram = rows.withColumn("rest", F.col("n") % capacity).groupBy("rest").agg(F.count(F.lit(1)).alias("pieces"), F.sum(F.expr(f"n div {capacity}")).alias("full")).collect()
     runs, bins = plan({r.rest: r.pieces for r in histogram if r.rest}, capacity)
     most = max((r.pieces for r in histogram), default=0)
     shards = max(1, -(-max(most, sum(r.full for r in histogram)) // rows_per_shard))
-    sharded = rows.where("n > 0").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")).withColumn("rest", F.col("n") % capacity)
+    sharded = rows.where("n > 0").withColumn("shard", F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)).cast("int")).withColumn("rest", F.col("n") % capacity)
 
     # pieces that are planned: a rank within the length, then the run that holds it
-    in_shard = W.partitionBy("rest", "shard").orderBy("doc_id", "n")
+    in_shard = W.partitionBy("rest", "shard").orderBy("doc_id", "row")
     rests = sharded.where("rest > 0")
     before = rests.groupBy("rest", "shard").count().withColumn("before", F.sum("count").over(W.partitionBy("rest").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)))
     ranked = rests.withColumn("r", F.row_number().over(in_shard) - 1).join(before.select("rest", "shard", "before"), ["rest", "shard"]).withColumn("rank", F.col("r") + F.coalesce("before", F.lit(0)))
@@ -124,7 +125,7 @@ def pack(docs: DataFrame, length: Column | None = None, *, id_col: str = "doc_id
     # full bins, numbered after the planned ones
     long = sharded.withColumn("full", F.expr(f"n div {capacity}")).where("full > 0")
     start = long.groupBy("shard").agg(F.sum("full").alias("s")).withColumn("before", F.coalesce(F.sum("s").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    upto = F.coalesce(F.sum("full").over(W.partitionBy("shard").orderBy("doc_id", "n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    upto = F.coalesce(F.sum("full").over(W.partitionBy("shard").orderBy("doc_id", "row").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     own = long.withColumn("own", upto).join(start.select("shard", "before"), "shard")
     full = own.select("doc_id", (F.col("own") + F.col("before") + bins).alias("first"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("piece"))
     full = full.select("doc_id", "piece", (F.col("piece") * capacity).alias("start"), F.lit(capacity).cast("long").alias("length"), (F.col("first") + F.col("piece")).alias("bin"), F.lit(0).cast("long").alias("offset"))

@@ -23,7 +23,9 @@ def test_edges(spark):
     want = [(1, 1, False), (2, 1, True), (3, 3, False), (4, 3, True), (5, 5, False), (6, 6, False), (7, 7, False), (8, 7, True), (None, 1, True), (9, 9, False), (9, 9, True), (10, 10, False), (11, 10, True)]
     assert got == sorted(want, key=repr)
     assert op.exact_dedup(df.limit(0), F.col("b")).count() == 0
-    assert op.arrival(df.limit(0)) is not None
+    assert op.dedup_in_order(op.arrival(df.limit(0))).count() == 0
+    ids = [n for b, part in op.arrival(df, 3) for n in [(b, r.doc_id) for r in part.collect()]]
+    assert sorted(ids, key=repr) == sorted(((2 if i is None else (i - 1) * 3 // 11, i) for i, _, _ in rows), key=repr)
 
 
 def brute(rows):

@@ -77,3 +77,10 @@ def test_edges(spark):
         assert all(r.bin is None for r in got if not r.length)
     assert op.pack(df.limit(0)).count() == 0
     assert op.pack(df, F.lit(None).cast("int")).where("bin is null").count() == len(rows)
+
+
+def test_one_id_is_many_shards(spark):
+    """Rows without an id, all of one length, are ranked side by side."""
+    df = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit(1).alias("row"))
+    got = op.pack(df, capacity=10, rows_per_shard=200).collect()
+    assert len(got) == 3000 and len({(r.bin, r.offset) for r in got}) == 3000 and max(r.bin for r in got) == 1499
