@@ -20,6 +20,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
     links = written(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links")
+    if links.isEmpty():
+        return links.select(F.col("a").alias("node"), F.col("b").alias("label"))
     nodes = links.select(F.col("a").alias("node")).union(links.select("b"))
     # the smallest neighbour, or the node itself: no label is ever larger than its node
     first = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
