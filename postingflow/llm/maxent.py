@@ -37,7 +37,7 @@ ROUNDS = 4
 RATE = 0.3
 DAMP = 30.0  # squared gradient of a weight that has no evidence yet: rare features move little
 FEATURES = 4
-STEP = 1 << 15  # positions in one numpy step
+STEP = 1 << 13  # positions in one numpy step
 SLICE = 1 << 20
 
 
@@ -174,39 +174,52 @@ class Model:
             yield at.astype(np.int64), chosen, column
 
     @staticmethod
-    def softmax(weights: np.ndarray, base: np.ndarray, at: np.ndarray, row: np.ndarray) -> np.ndarray:
-        s = base[row] if len(base) > 1 else np.repeat(base, len(at), 0)
+    def logits(weights: np.ndarray, base: np.ndarray, at: np.ndarray, row: np.ndarray) -> np.ndarray:
+        s = base[row]
         for k in range(FEATURES):
             s += weights[at[:, k]]
-        s -= s.max(1, keepdims=True)
+        return s
+
+    @classmethod
+    def softmax(cls, *place) -> np.ndarray:
+        """A weight moves by RATE a round at most, so exponentials need no shift."""
+        s = cls.logits(*place)
         np.exp(s, out=s)
-        s /= s.sum(1, keepdims=True)
+        s *= np.reciprocal(np.einsum("ij->i", s))[:, None]
         return s
 
     def steps(self, h: np.ndarray, rows: np.ndarray) -> Iterator[tuple]:
-        """(first position, part, weight rows, probabilities, true columns), a step of positions at a time."""
+        """(first position, part, (weights, base, weight rows, base rows), true columns), a step of positions at a time."""
         y = self.outcome(h)
         f = self.features(h, rows)
         for a in range(0, len(y), STEP):
             for part, (at, row, column) in enumerate(self.parts(f[a : a + STEP], y[a : a + STEP])):
-                yield a, part, at, self.softmax(self.weights[part], self.base[part], at, row), column
+                yield a, part, (self.weights[part], self.base[part], at, row), column
 
     def score(self, h: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Natural log probability of each word's outcome."""
         out = np.zeros(len(h), np.float64)
-        for a, _, at, p, column in self.steps(h, rows):
-            out[a : a + len(at)] += np.log(np.maximum(p[np.arange(len(at)), column], 1e-30).astype(np.float64))
+        for a, _, place, column in self.steps(h, rows):
+            s = self.logits(*place)
+            true = s[np.arange(len(s)), column]
+            np.exp(s, out=s)
+            out[a : a + len(s)] += true - np.log(np.einsum("ij->i", s))
         return out
 
     def gradient(self, h: np.ndarray, rows: np.ndarray, sums: list[np.ndarray]) -> None:
         """Adds the gradient of the log likelihood to the sums of each part."""
-        for _, part, at, d, column in self.steps(h, rows):
-            np.negative(d, out=d)
-            d[np.arange(len(at)), column] += 1.0
-            where = at.T.ravel()
-            g = sums[part]
-            for k, values in enumerate(np.ascontiguousarray(d.T, dtype=np.float64)):  # a count of weighted rows needs no sort
-                g[:, k] += np.bincount(where, np.tile(values, FEATURES), len(g))
+        where = [np.empty((FEATURES, len(h)), np.int64) for _ in sums]
+        slope = [np.empty((g.shape[1], len(h))) for g in sums]
+        for a, part, place, column in self.steps(h, rows):
+            n = len(column)
+            p = self.softmax(*place)
+            d = slope[part][:, a : a + n]
+            np.negative(p.T, out=d)
+            d[column, np.arange(n)] += 1.0
+            where[part][:, a : a + n] = place[2].T
+        for g, w, d in zip(sums, where, slope):
+            for k, values in enumerate(d):  # a count of weighted rows needs no sort
+                g[:, k] += np.bincount(w.ravel(), np.tile(values, FEATURES), len(g))
 
     def zeros(self) -> list[np.ndarray]:
         return [np.zeros(w.shape[::-1]).T for w in self.weights]
@@ -281,22 +294,30 @@ def score(docs: DataFrame, model: Model, words: Words, *, text_col: str = "text"
     """
     spread = docs.sparkSession.sparkContext.broadcast((model, words.tasks()))
 
-    def run(texts: pa.Array) -> pa.Array:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, counts = spread.value
-        n_words, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-        for i, n, h, rows in _words(texts):
-            logs = model.score(h, rows) + within(model, counts, h)[0]
-            n_words[i : i + n] = np.bincount(rows, minlength=n)
-            total[i : i + n] = np.bincount(rows, logs, n)
-        return pa.StructArray.from_arrays([pa.array(n_words), pa.array(total)], ["n", "logprob"])
-
-    udf = F.arrow_udf(run, "n bigint, logprob double").asNondeterministic()  # so that a filter doesn't run it twice
+        for batch in batches:
+            for i, n, h, rows in _words(batch.column(1)):
+                known, rare = within(model, counts, h)
+                logs = model.score(h, rows) + known
+                # words outside the head, each once for its text with how often it stands there
+                row, word = rows[rare].astype(np.int64), h[rare]
+                _, at, times = np.unique(word ^ mix(row.astype(np.uint64)), return_index=True, return_counts=True)
+                order = np.argsort(row[at], kind="stable")
+                at, times = at[order], times[order]
+                entries = pa.StructArray.from_arrays([pa.array(word[at].view(np.int64)), pa.array(times.astype(np.int32))], ["h", "times"])
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[at], np.arange(n + 1)).astype(np.int32)), entries)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(np.bincount(rows, minlength=n).astype(np.int64)), pa.array(np.bincount(rows, logs, n).astype(np.float64)), lists], ["key", "n", "logprob", "rare"])
+
     low = F.lower(of_row(text_col))
-    rare = rare_words(docs, spread, words, text_col)
-    scored = packed(docs).select("row", udf(low).alias("lm"), F.xxhash64(low).alias("key")).join(rare, "key", "left")
-    n, logprob = F.col("lm.n"), F.col("lm.logprob") + F.coalesce("rare", F.lit(0.0))
+    rows = packed(docs).select("row", low.alias("text"), F.xxhash64(low).alias("key"))
+    # copies of a text have one key and the same score
+    scored = written(rows.where("text is not null").select("key", "text").mapInArrow(run, "key bigint, n bigint, logprob double, rare array<struct<h: bigint, times: int>>"), "scores")
+    by_text = scored.groupBy("key").agg(F.first("n").alias("n"), F.first("logprob").alias("logprob")).join(rare_words(scored, words), "key", "left")
+    met = rows.select("row", "key").join(by_text, "key", "left")
+    n, logprob = F.coalesce("n", F.lit(0).cast("long")), F.coalesce(F.col("logprob") + F.coalesce("rare", F.lit(0.0)), F.lit(0.0))
     perplexity = F.when(n > 0, F.round(F.exp(F.least(-logprob / n, F.lit(700.0))), 3))
-    return unpacked(scored, docs.columns, {"lm_words": n, "lm_logprob": F.round(logprob, 3), "lm_perplexity": perplexity})
+    return unpacked(met, docs.columns, {"lm_words": n, "lm_logprob": F.round(logprob, 3), "lm_perplexity": perplexity})
 
 
 def within(model: Model, counts: tuple, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -317,28 +338,13 @@ def within(model: Model, counts: tuple, h: np.ndarray) -> tuple[np.ndarray, np.n
     return out, rare
 
 
-def rare_words(docs: DataFrame, spread, words: Words, text_col: str) -> DataFrame:
+def rare_words(scored: DataFrame, words: Words) -> DataFrame:
     """(key, rare): sum of the log counts of a text's words outside the head, by the text's hash.
 
     A word that the corpus lacks counts as one. Copies of a text have the same key; each of them states its words, and
     its part of ``copies``.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, counts = spread.value
-        for batch in batches:
-            keys = batch.column(1).to_numpy()
-            for i, n, h, rows in _words(batch.column(0)):
-                rare = within(model, counts, h)[1]
-                row, h = rows[rare].astype(np.int64), h[rare]
-                _, at, times = np.unique(h ^ mix(row.astype(np.uint64)), return_index=True, return_counts=True)
-                row, h = row[at], h[at]
-                first = np.zeros(len(row), np.int32)
-                first[np.unique(row, return_index=True)[1]] = 1
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i + row]), pa.array(h.view(np.int64)), pa.array(times.astype(np.int32)), pa.array(first)], ["key", "h", "times", "copies"])
-
-    low = F.lower(quoted(text_col))
-    said = docs.select(low.alias("text"), F.xxhash64(low).alias("key")).where("text is not null").mapInArrow(run, "key bigint, h bigint, times int, copies int")
+    said = scored.select("key", F.posexplode("rare").alias("place", "w")).select("key", (F.col("place") == 0).cast("int").alias("copies"), "w.h", "w.times")
     # words that occur once in the corpus have log count 0, as have those that it lacks
     met = said.join(words.table.where("n > 1").withColumnRenamed("n", "count"), "h", "left")
     by_text = met.groupBy("key").agg(F.sum(F.col("times") * F.log(F.coalesce("count", F.lit(1)).cast("double"))).alias("s"), F.sum("copies").alias("copies"))
