@@ -37,7 +37,7 @@ ROUNDS = 4
 RATE = 0.3
 DAMP = 30.0  # squared gradient of a weight that has no evidence yet: rare features move little
 FEATURES = 4
-STEP = 1 << 13  # positions in one numpy step
+STEP, CHUNK = 1 << 13, 1 << 15  # positions in one numpy step, and those whose gradients are added at a time
 SLICE = 1 << 20
 
 
@@ -208,18 +208,20 @@ class Model:
 
     def gradient(self, h: np.ndarray, rows: np.ndarray, sums: list[np.ndarray]) -> None:
         """Adds the gradient of the log likelihood to the sums of each part."""
-        where = [np.empty((FEATURES, len(h)), np.int64) for _ in sums]
-        slope = [np.empty((g.shape[1], len(h))) for g in sums]
+        size = min(CHUNK, len(h))
+        where = [np.empty((FEATURES, size), np.int64) for _ in sums]
+        slope = [np.empty((g.shape[1], size)) for g in sums]
         for a, part, place, column in self.steps(h, rows):
-            n = len(column)
+            n, at = len(column), a % CHUNK
             p = self.softmax(*place)
-            d = slope[part][:, a : a + n]
+            d = slope[part][:, at : at + n]
             np.negative(p.T, out=d)
             d[column, np.arange(n)] += 1.0
-            where[part][:, a : a + n] = place[2].T
-        for g, w, d in zip(sums, where, slope):
-            for k, values in enumerate(d):  # a count of weighted rows needs no sort
-                g[:, k] += np.bincount(w.ravel(), np.tile(values, FEATURES), len(g))
+            where[part][:, at : at + n] = place[2].T
+            if at + n == CHUNK or a + n == len(h):
+                g, w = sums[part], np.ascontiguousarray(where[part][:, : at + n]).ravel()
+                for k, values in enumerate(slope[part][:, : at + n]):  # a count of weighted rows needs no sort
+                    g[:, k] += np.bincount(w, np.tile(values, FEATURES), len(g))
 
     def zeros(self) -> list[np.ndarray]:
         return [np.zeros(w.shape[::-1]).T for w in self.weights]
