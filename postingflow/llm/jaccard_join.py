@@ -33,7 +33,7 @@ UNRELATED = 20  # texts that have nothing to do with each other are at most thre
 MEETINGS = 8  # of those, that a text may meet in any band
 DOUBT = 3.5  # standard deviations by which a sketch may understate a similarity
 BUCKET_ROWS = 1 << 14  # classes that one cell of a bucket holds
-CELL_BYTES = 4 << 20  # text bytes of a component that one cell holds
+CELL_BYTES, CELL_ROWS = 4 << 20, 1 << 12  # text bytes and texts of a component that one block holds
 GRAMS_AT_ONCE = 1 << 22  # grams that are compared in one step
 
 
@@ -298,7 +298,7 @@ class Join:
         self.linked = written(texts.groupBy("k").agg(F.first("cell").alias("cell"), F.first("sig").alias("sig"), F.first("text").alias("text")).withColumn("bytes", F.octet_length("text").cast("long")), "linked")
 
     def verified(self, pairs: bool) -> DataFrame:
-        sizes = self.linked.groupBy("cell").agg(F.ceil(F.sum("bytes") / F.lit(CELL_BYTES)).cast("int").alias("blocks")).where("blocks > 1")
+        sizes = self.linked.groupBy("cell").agg(F.greatest(F.ceil(F.sum("bytes") / F.lit(CELL_BYTES)), F.ceil(F.count(F.lit(1)) / F.lit(CELL_ROWS))).cast("int").alias("blocks")).where("blocks > 1")
         cells = _blocks(self.linked.join(sizes, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), "cell")
         kind = "a bigint, b bigint, jaccard double" if pairs else "k bigint, links bigint, best double, root bigint, split boolean"
         rows = cells.select(*CELL, "block", "k", "sig", "text", (F.col("blocks") > 1).alias("split")).repartition(*CELL).sortWithinPartitions(*CELL)

@@ -127,6 +127,7 @@ def test_blocks_change_nothing(spark, monkeypatch):
     assert {(r.doc_id_a, r.doc_id_b) for r in one} == set(brute(rows)) and len(one) > 300
     assert [(r.doc_id, r.class_id, r.copies, r.links, r.best) for r in classes] == sorted(brute_classes(rows, brute(rows)))
     monkeypatch.setattr(op, "CELL_BYTES", 2000)
+    monkeypatch.setattr(op, "CELL_ROWS", 13)
     monkeypatch.setattr(op, "BUCKET_ROWS", 7)
     monkeypatch.setattr(op, "GRAMS_AT_ONCE", 500)
     assert sorted(op.jaccard_join(df).collect()) == one and sorted(op.near_classes(df).collect()) == classes
