@@ -37,8 +37,9 @@ ROUNDS = 4
 RATE = 0.3
 DAMP = 30.0  # squared gradient of a weight that has no evidence yet: rare features move little
 FEATURES = 4
-STEP, CHUNK = 1 << 13, 1 << 15  # positions in one numpy step, and those whose gradients are added at a time
-SLICE = 1 << 20
+STEP, CHUNK = 1 << 12, 1 << 20  # positions in one numpy step, and those whose gradients are added up before they join the others
+PROBES = 8  # keys that may share a cell before a binary search takes less time
+SLICE = 1 << 19
 
 
 def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -96,6 +97,31 @@ def classes_for(words: int) -> int:
     return classes
 
 
+class Places:
+    """Where hashes stand among sorted ``keys``: a table by their leading bits says where to look, at few keys each."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        bits = len(keys).bit_length() + 2
+        self.keys, self.shift = keys, np.uint64(64 - bits)
+        cells = keys >> self.shift
+        self.first = np.searchsorted(cells, np.arange(1 << bits, dtype=np.uint64)).astype(np.int32)
+        self.probes = int(np.bincount(cells.astype(np.int64)).max()) if len(keys) else 0
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, whether the key of that place is the hash)."""
+        last = len(self.keys) - 1
+        if last < 0:
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        if self.probes > PROBES:
+            at = np.minimum(np.searchsorted(self.keys, h), last)
+        else:
+            at = np.minimum(self.first.take((h >> self.shift).view(np.int64)), last).astype(np.int64)
+            for _ in range(self.probes - 1):
+                at += self.keys.take(at) < h
+                np.minimum(at, last, out=at)
+        return at, self.keys.take(at) == h
+
+
 class Words:
     """Counts of all words of a corpus, which give P(word | bucket) = n(word) / (n(bucket) + 1).
 
@@ -130,7 +156,7 @@ class Model:
 
     def __init__(self, known: np.ndarray, count: np.ndarray, rows: int = ROWS) -> None:
         order = np.argsort(known)
-        self.known, self.rank = known[order], order.astype(np.int32)
+        self.places, self.rank = Places(known[order]), order.astype(np.int32)
         self.own, self.buckets = len(count) * 3 // 4, len(count) // 4
         tree = count.reshape(-1, GROUPS, PLACES).astype(np.float64)
         log = lambda n: np.log((n + 1) / (n.sum(-1, keepdims=True) + n.shape[-1])).astype(np.float32)
@@ -140,10 +166,8 @@ class Model:
     def outcome(self, h: np.ndarray) -> np.ndarray:
         """Number of each word's outcome."""
         out = (self.own + (h % np.uint64(self.buckets)).astype(np.int32)).astype(np.int32)
-        if len(self.known):
-            at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-            hit = self.known[at] == h
-            out[hit] = self.rank[at[hit]]
+        at, hit = self.places.find(h)
+        out[hit] = self.rank[at[hit]]
         return out
 
     @staticmethod
@@ -160,24 +184,26 @@ class Model:
         a, b, c = before
         with np.errstate(over="ignore"):
             parts = [a + np.uint64(1 << 20), a * np.uint64(0x9FB21C651E98DF25) + b + np.uint64(1 << 40), b + np.uint64(2 << 20), c + np.uint64(3 << 20)]
-            return mix(np.stack(parts, 1) * np.uint64(0x9E3779B97F4A7C15))
+            return mix(np.stack(parts) * np.uint64(0x9E3779B97F4A7C15)).T
 
     def parts(self, f: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Of each part: weight rows (n, FEATURES), which depend on what was chosen before; row of the base; true column."""
+        """Of each part: weight rows (FEATURES, n), which depend on what was chosen before; row of the base; true column."""
         last = np.uint64(len(self.weights[0]) - 1)
         group = y // PLACES
-        yield ((f >> np.uint64(20)) & last).astype(np.int64), np.zeros(len(y), np.int64), group // GROUPS
+        f = f.T
+        yield ((f >> np.uint64(20)) & last).view(np.int64), np.zeros(len(y), np.int64), group // GROUPS
         for chosen, column in ((group // GROUPS, group % GROUPS), (group, y % PLACES)):
             with np.errstate(over="ignore"):
                 salt = (chosen.astype(np.uint64) * np.uint64(2) + np.uint64(chosen is group) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-                at = mix(f + salt[:, None]) & last
-            yield at.astype(np.int64), chosen, column
+                at = mix(f + salt) & last
+            yield at.view(np.int64), chosen, column
 
     @staticmethod
     def logits(weights: np.ndarray, base: np.ndarray, at: np.ndarray, row: np.ndarray) -> np.ndarray:
-        s = base[row]
-        for k in range(FEATURES):
-            s += weights[at[:, k]]
+        s = base.take(row, 0)
+        more = np.empty_like(s)
+        for rows in at:
+            s += weights.take(rows, 0, more, "clip")  # no row is out of range, and only so nothing is copied twice
         return s
 
     @classmethod
@@ -188,43 +214,42 @@ class Model:
         s *= np.reciprocal(np.einsum("ij->i", s))[:, None]
         return s
 
-    def steps(self, h: np.ndarray, rows: np.ndarray) -> Iterator[tuple]:
-        """(first position, part, (weights, base, weight rows, base rows), true columns), a step of positions at a time."""
-        y = self.outcome(h)
-        f = self.features(h, rows)
+    def steps(self, h: np.ndarray, rows: np.ndarray, y: np.ndarray) -> Iterator[tuple]:
+        """(first position, part, (weights, base, weight rows, base rows), places of the true columns in the flattened logits),
+        a step of positions at a time."""
         for a in range(0, len(y), STEP):
-            for part, (at, row, column) in enumerate(self.parts(f[a : a + STEP], y[a : a + STEP])):
-                yield a, part, (self.weights[part], self.base[part], at, row), column
-
-    def score(self, h: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Natural log probability of each word's outcome."""
+            early = min(a, FEATURES - 1)  # the words before
+            f = self.features(h[a - early : a + STEP], rows[a - early : a + STEP])[early:]
+            for part, (at, row, column) in enumerate(self.parts(f, y[a : a + STEP])):
+                width = self.base[part].shape[1]
+                yield a, part, (self.weights[part], self.base[part], at, row), np.arange(0, len(column) * width, width) + column
+
+    def score(self, h: np.ndarray, rows: np.ndarray, y: np.ndarray | None = None) -> np.ndarray:
+        """Natural log probability of each word's outcome ``y``."""
         out = np.zeros(len(h), np.float64)
-        for a, _, place, column in self.steps(h, rows):
+        for a, _, place, true in self.steps(h, rows, self.outcome(h) if y is None else y):
             s = self.logits(*place)
-            true = s[np.arange(len(s)), column]
+            chosen = s.ravel().take(true)
             np.exp(s, out=s)
-            out[a : a + len(s)] += true - np.log(np.einsum("ij->i", s))
+            out[a : a + len(s)] += chosen - np.log(np.einsum("ij->i", s))
         return out
 
     def gradient(self, h: np.ndarray, rows: np.ndarray, sums: list[np.ndarray]) -> None:
-        """Adds the gradient of the log likelihood to the sums of each part."""
-        size = min(CHUNK, len(h))
-        where = [np.empty((FEATURES, size), np.int64) for _ in sums]
-        slope = [np.empty((g.shape[1], size)) for g in sums]
-        for a, part, place, column in self.steps(h, rows):
-            n, at = len(column), a % CHUNK
+        """Adds the gradient of the log likelihood to the sums of each part.
+
+        Two columns are one complex number, so that one indexed addition serves both, and a weight row's sums lie together.
+        """
+        for _, part, place, true in self.steps(h, rows, self.outcome(h)):
             p = self.softmax(*place)
-            d = slope[part][:, at : at + n]
-            np.negative(p.T, out=d)
-            d[column, np.arange(n)] += 1.0
-            where[part][:, at : at + n] = place[2].T
-            if at + n == CHUNK or a + n == len(h):
-                g, w = sums[part], np.ascontiguousarray(where[part][:, : at + n]).ravel()
-                for k, values in enumerate(slope[part][:, : at + n]):  # a count of weighted rows needs no sort
-                    g[:, k] += np.bincount(w, np.tile(values, FEATURES), len(g))
+            np.negative(p, out=p)
+            p.ravel()[true] += 1
+            g, d = sums[part].view(np.complex64), p.view(np.complex64)
+            for at in place[2]:
+                for k in range(d.shape[1]):
+                    np.add.at(g[:, k], at, d[:, k])
 
     def zeros(self) -> list[np.ndarray]:
-        return [np.zeros(w.shape[::-1]).T for w in self.weights]
+        return [np.zeros(w.shape, np.float32) for w in self.weights]
 
     def move(self, part: int, block: int, g: np.ndarray, squares: list[np.ndarray], rate: float) -> None:
         """An AdaGrad step of some rows by their gradient sums over the corpus."""
@@ -233,19 +258,31 @@ class Model:
         self.weights[part][rows] += rate * g / np.sqrt(squares[part][rows] + DAMP)
 
 
+def settle(sums: list[np.ndarray], near: list[np.ndarray]) -> None:
+    """Moves ``near`` into ``sums``."""
+    for g, d in zip(sums, near):
+        g += d
+        d[:] = 0
+
+
 def _gradients(spread):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = spread.value
-        sums, n = model.zeros(), 0
+        sums, near = model.zeros(), model.zeros()  # of all, and of up to CHUNK words and a slice: no sum outgrows what is added to it
+        n = held = 0
         for batch in batches:
             for _, _, h, rows in _words(batch.column(0)):
-                model.gradient(h, rows, sums)
-                n += len(h)
+                model.gradient(h, rows, near)
+                n, held = n + len(h), held + len(h)
+                if held > CHUNK:
+                    settle(sums, near)
+                    held = 0
         if not n:
             return
+        settle(sums, near)
         for part, g in enumerate(sums):
             for block in range(len(g) // BLOCK):
-                some = g[block * BLOCK : (block + 1) * BLOCK].astype(np.float32, order="C")
+                some = g[block * BLOCK : (block + 1) * BLOCK]
                 at = np.flatnonzero(some.any(1))
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([at.astype(np.uint16).tobytes()]), pa.array([some[at].tobytes()])], ["part", "block", "at", "g"])
 
@@ -297,11 +334,13 @@ def score(docs: DataFrame, model: Model, words: Words, *, text_col: str = "text"
     spread = docs.sparkSession.sparkContext.broadcast((model, words.tasks()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, counts = spread.value
+        model, (head, counts, bucket) = spread.value
+        head = Places(head)
         for batch in batches:
             for i, n, h, rows in _words(batch.column(1)):
-                known, rare = within(model, counts, h)
-                logs = model.score(h, rows) + known
+                y = model.outcome(h)
+                known, rare = within(model, (head, counts, bucket), h, y)
+                logs = model.score(h, rows, y) + known
                 # words outside the head, each once for its text with how often it stands there
                 row, word = rows[rare].astype(np.int64), h[rare]
                 _, at, times = np.unique(word ^ mix(row.astype(np.uint64)), return_index=True, return_counts=True)
@@ -322,22 +361,17 @@ def score(docs: DataFrame, model: Model, words: Words, *, text_col: str = "text"
     return unpacked(met, docs.columns, {"lm_words": n, "lm_logprob": F.round(logprob, 3), "lm_perplexity": perplexity})
 
 
-def within(model: Model, counts: tuple, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log P(word | bucket), as far as it is known here, and which words are in buckets but not in the head; of these
-    only the bucket's part is in the sum, and the logarithm of their count is missing."""
+def within(model: Model, counts: tuple[Places, np.ndarray, np.ndarray], h: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log P(word | bucket), as far as it is known here, and the places of words that are in buckets ``y`` but not in the
+    head; of these only the bucket's part is in the sum, and the logarithm of their count is missing."""
     head, n, bucket = counts
-    y = model.outcome(h)
     out = np.zeros(len(h))
-    inside = y >= model.own
-    out[inside] = -np.log(bucket[y[inside] - model.own] + 1.0)
-    rare = inside
-    if len(head):
-        at = np.minimum(np.searchsorted(head, h), len(head) - 1)
-        hit = head[at] == h
-        own = inside & hit
-        out[own] += np.log(n[at[own]])
-        rare = inside & ~hit
-    return out, rare
+    inside = np.flatnonzero(y >= model.own)
+    logs = -np.log(bucket[y[inside] - model.own] + 1.0)
+    at, hit = head.find(h[inside])
+    logs[hit] += np.log(n[at[hit]])
+    out[inside] = logs
+    return out, inside[~hit]
 
 
 def rare_words(scored: DataFrame, words: Words) -> DataFrame:
