@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.analysis import LOWERCASE, Analyzer, by_term
 
 TABLES = ("forward", "postings", "doc_stats", "terms")
+IN_ROW = 64  # terms whose positions are looked for one by one in what a document has of them
 
 
 @dataclass(frozen=True)
@@ -33,6 +34,7 @@ class Index:
     terms: DataFrame
     analyzer: Analyzer = LOWERCASE
     saved: bool = False
+    lazy: bool = False  # postings and terms are made of the forward table at each use
     known: dict[str, int] = field(default_factory=dict, repr=False, compare=False)  # df of terms that were looked up, 0 for none
 
     # tables
@@ -50,14 +52,26 @@ class Index:
         return self.postings.join(self.doc_stats, "doc_id").select("term", "doc_id", F.size("positions").cast("long").alias("term_count"), (F.size("positions") / F.col("term_count")).alias("tf"))
 
     def postings_of(self, terms: Iterable[str]) -> DataFrame:
-        """Postings of some terms; of a saved index only the row groups that can hold them are read."""
-        return self.postings.where(F.col("term").isin(sorted(set(terms))))
+        """Postings of some terms.
+
+        Of a saved index only the row groups that can hold them are read; of a lazy one only their positions are taken from
+        the texts.
+        """
+        wanted = sorted(set(terms))
+        if self.lazy and len(wanted) <= IN_ROW:
+            return grouped_of(self.forward, wanted)
+        return self.postings.where(F.col("term").isin(wanted))
+
+    def terms_of(self, terms: Iterable[str]) -> DataFrame:
+        """What the dictionary has of some terms."""
+        wanted = sorted(set(terms))
+        return dictionary(self.postings_of(wanted)) if self.lazy else self.terms.where(F.col("term").isin(wanted))
 
     def dfs(self, terms: Iterable[str]) -> dict[str, int]:
         """Documents that have each of some terms, 0 for unknown ones: one job on the dictionary, however many there are."""
         wanted = set(terms)
         if new := sorted(wanted - self.known.keys()):
-            found = {r.term: r.df for r in self.terms.where(F.col("term").isin(new)).select("term", "df").collect()}
+            found = {r.term: r.df for r in self.terms_of(new).select("term", "df").collect()}
             self.known.update({t: found.get(t, 0) for t in new})
         return {t: self.known[t] for t in wanted}
 
@@ -83,7 +97,7 @@ class Index:
 
     def term_count(self, term: str, doc_id: int | None = None) -> int:
         """Occurrences in the corpus or in one document; KeyError for a term that the corpus doesn't have."""
-        row = self.terms.where(F.col("term") == term).first()
+        row = self.terms_of([term]).first()
         if row is None:
             raise KeyError(term)
         if doc_id is None:
@@ -124,6 +138,16 @@ def grouped(forward: DataFrame) -> DataFrame:
     return forward.select("doc_id", F.explode(by_term("terms")).alias("p")).select("p.term", "doc_id", "p.positions")
 
 
+def grouped_of(forward: DataFrame, terms: list[str]) -> DataFrame:
+    """Postings of some terms, row by row in the JVM: no batch of texts goes to Python, and no other position is kept."""
+    hit = lambda t, i: F.when(t.isin(terms), F.struct(t.alias("term"), i.alias("pos")))
+    held = forward.select("doc_id", F.filter(F.transform("terms", hit), lambda x: x.isNotNull()).alias("held"))
+    one = lambda t: F.struct(t.alias("term"), F.transform(F.filter("held", lambda x: x["term"] == t), lambda x: x["pos"]).alias("positions"))
+    # no column of its own: of a column that is exploded the optimizer asks the size first, which would analyse the text twice
+    each = F.transform(F.array_distinct(F.transform("held", lambda x: x["term"])), one)
+    return held.select("doc_id", F.explode(each).alias("p")).select("p.term", "doc_id", "p.positions")
+
+
 def lengths(forward: DataFrame) -> DataFrame:
     return forward.select("doc_id", F.size("terms").cast("long").alias("term_count"))
 
@@ -153,4 +177,4 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     terms: Column = analyzer.terms(F.col("text"))
     forward = base.select("doc_id", terms.alias("terms"), analyzer.ranges(F.col("text")).alias("r")).select("doc_id", "terms", "r.starts", "r.lengths")
     postings = grouped(forward)
-    return Index(forward, postings, lengths(forward), dictionary(postings), analyzer)
+    return Index(forward, postings, lengths(forward), dictionary(postings), analyzer, lazy=True)
