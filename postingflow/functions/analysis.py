@@ -1,13 +1,13 @@
 """Tokenizers and normalizers as column expressions.
 
 A tokenizer gives an array of raw tokens and, only where somebody asks for it, where each token stands in the UTF-8
-bytes of the text. Terms stay in the JVM; the byte ranges come from one vectorised Arrow step over the arrays of tokens
-and gaps, so that no token has to be shuffled to add up the lengths before it.
+bytes of the text. Terms stay in the JVM; the byte ranges come from one vectorised Arrow step over the lengths of tokens
+and gaps, so that no token has to be shuffled to add up the lengths before it. Arrow steps take a batch by slices.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +17,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import batches
+
 LETTERS = r"\p{L}+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -35,22 +37,15 @@ _RANGES = T.StructType([T.StructField("starts", T.ArrayType(T.LongType())), T.St
 
 
 @F.arrow_udf(_RANGES)
-def _byte_ranges(tokens: pa.Array, gaps: pa.Array) -> pa.Array:
-    size = lambda a: (pc.binary_length(a.flatten()).to_numpy(zero_copy_only=False).astype(np.int64), a.offsets.to_numpy().astype(np.int64))
-    (t, t_at), (g, g_at) = size(tokens), size(gaps)
-    t_at, g_at = t_at - t_at[0], g_at - g_at[0]
-    rows = np.repeat(np.arange(len(tokens)), np.diff(t_at))
-    before = g[np.arange(len(t)) - t_at[rows] + g_at[rows]]
-    ends = np.cumsum(t + before)
-    base = np.concatenate([[0], ends])[t_at[:-1]]
-    starts = ends - t - base[rows]
-    lists = [pa.ListArray.from_arrays(pa.array(t_at.astype(np.int32)), pa.array(x)) for x in (starts, t)]
-    return pa.StructArray.from_arrays(lists, ["starts", "lengths"])
+def _byte_ranges(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for tokens, gaps in columns:
+        for begin, end in batches.slices(batches.offsets(tokens)):
+            yield batches.byte_ranges(tokens[begin:end], gaps[begin:end])
 
 
 def letter_ranges(text: Column) -> Column:
     """Byte offset and byte length of each run of letters: struct of two arrays."""
-    return _byte_ranges(letter_runs(text), letter_gaps(text))
+    return _byte_ranges(F.transform(letter_runs(text), F.octet_length), F.transform(letter_gaps(text), F.octet_length))
 
 
 def lowercase(token: Column) -> Column:

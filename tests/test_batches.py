@@ -1,8 +1,13 @@
-"""What goes to Python of a search."""
+"""What goes to Python of a search and of an index, and how much of it is worked on at once."""
 
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from postingflow.functions import analysis
 from postingflow.operators import index as i
 from postingflow.operators import score
 from postingflow.operators import search as s
@@ -37,3 +42,27 @@ def test_postings_of_some_terms(index, words):
     rows = lambda df: sorted(tuple(r) for r in df.collect())
     assert rows(index.postings_of(words)) == rows(index.postings.where(F.col("term").isin(words)))
     assert rows(index.terms_of(words)) == rows(index.terms.where(F.col("term").isin(words)))
+
+
+def peak(f):
+    """Result, and bytes that were in use beyond what was there, at most."""
+    tracemalloc.start()
+    try:
+        return f(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+ROWS, LENGTH = 10_000, 300
+
+
+def lists(values):
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, ROWS * LENGTH + 1, LENGTH, dtype=np.int32)), values)
+
+
+def test_ranges_of_a_large_batch():
+    ones = lists(pa.array(np.ones(ROWS * LENGTH, np.int32)))
+    parts, most = peak(lambda: [len(x) for x in analysis._byte_ranges.func(iter([(ones, ones)]))])
+    assert sum(parts) == ROWS and most < 32 << 20
+    first = next(analysis._byte_ranges.func(iter([(ones, ones)])))
+    assert first[3].as_py() == {"starts": list(range(1, 2 * LENGTH, 2)), "lengths": [1] * LENGTH}
