@@ -10,9 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,16 +113,8 @@ _GROUPED = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.St
 
 
 @F.arrow_udf(_GROUPED)
-def by_term(terms: pa.Array) -> pa.Array:
-    """Each row's different terms with their ascending positions: one stable sort of a batch's term numbers."""
-    at = terms.offsets.to_numpy().astype(np.int64)
-    words = pc.dictionary_encode(terms.flatten())
-    codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    at = at - at[0]
-    rows = np.repeat(np.arange(len(terms)), np.diff(at))
-    key = rows * max(1, len(words.dictionary)) + codes
-    order = np.argsort(key, kind="stable")
-    begins = np.flatnonzero(np.diff(key[order], prepend=-1))
-    positions = pa.ListArray.from_arrays(pa.array(np.append(begins, len(key)).astype(np.int32)), pa.array((np.arange(len(key)) - at[rows])[order].astype(np.int32)))
-    entries = pa.StructArray.from_arrays([words.dictionary.take(pa.array(codes[order][begins])), positions], ["term", "positions"])
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows[order][begins], np.arange(len(terms) + 1)).astype(np.int32)), entries)
+def by_term(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Each row's different terms with their ascending positions."""
+    for terms in columns:
+        for begin, end in batches.slices(batches.offsets(terms)):
+            yield batches.by_term(terms[begin:end])

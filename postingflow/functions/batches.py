@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE = 1 << 17  # elements of lists that are worked on at once
 
@@ -39,3 +40,18 @@ def byte_ranges(tokens: pa.ListArray, gaps: pa.ListArray) -> pa.StructArray:
     starts = ends - t - base[rows]
     lists = [pa.ListArray.from_arrays(pa.array(t_at.astype(np.int32)), pa.array(x)) for x in (starts, t)]
     return pa.StructArray.from_arrays(lists, ["starts", "lengths"])
+
+
+def by_term(terms: pa.ListArray) -> pa.ListArray:
+    """Each row's different terms with their ascending positions: one stable sort of the rows' term numbers."""
+    at = offsets(terms)
+    words = pc.dictionary_encode(terms.flatten())
+    codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    at = at - at[0]
+    rows = np.repeat(np.arange(len(terms)), np.diff(at))
+    key = rows * max(1, len(words.dictionary)) + codes
+    order = np.argsort(key, kind="stable")
+    begins = np.flatnonzero(np.diff(key[order], prepend=-1))
+    positions = pa.ListArray.from_arrays(pa.array(np.append(begins, len(key)).astype(np.int32)), pa.array((np.arange(len(key)) - at[rows])[order].astype(np.int32)))
+    entries = pa.StructArray.from_arrays([words.dictionary.take(pa.array(codes[order][begins])), positions], ["term", "positions"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows[order][begins], np.arange(len(terms) + 1)).astype(np.int32)), entries)

@@ -66,3 +66,11 @@ def test_ranges_of_a_large_batch():
     assert sum(parts) == ROWS and most < 32 << 20
     first = next(analysis._byte_ranges.func(iter([(ones, ones)])))
     assert first[3].as_py() == {"starts": list(range(1, 2 * LENGTH, 2)), "lengths": [1] * LENGTH}
+
+
+def test_terms_of_a_large_batch():
+    words = lists(pa.array([f"w{k % 7}" for k in range(LENGTH)] * ROWS))
+    parts, most = peak(lambda: [len(x) for x in analysis.by_term.func(iter([words]))])
+    assert sum(parts) == ROWS and most < 32 << 20
+    first = next(analysis.by_term.func(iter([words])))
+    assert {e["term"]: e["positions"] for e in first[1].as_py()} == {f"w{k}": list(range(k, LENGTH, 7)) for k in range(7)}
