@@ -6,7 +6,7 @@ large for any input. Tasks import this module, so it needs no Spark.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -55,3 +55,42 @@ def by_term(terms: pa.ListArray) -> pa.ListArray:
     positions = pa.ListArray.from_arrays(pa.array(np.append(begins, len(key)).astype(np.int32)), pa.array((np.arange(len(key)) - at[rows])[order].astype(np.int32)))
     entries = pa.StructArray.from_arrays([words.dictionary.take(pa.array(codes[order][begins])), positions], ["term", "positions"])
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows[order][begins], np.arange(len(terms) + 1)).astype(np.int32)), entries)
+
+
+def largest_so_far(hits: pa.ListArray) -> pa.ListArray:
+    """Of each hit, the largest position up to it."""
+    at = offsets(hits)
+    pos, found = hits.flatten().field("pos").to_numpy(zero_copy_only=False), []
+    at = at - at[0]
+    for begin, end in slices(at):
+        own = pos[at[begin] : at[end]].astype(np.int64)
+        rows = np.repeat(np.arange(end - begin), np.diff(at[begin : end + 1]))
+        # positions of later rows are lifted above those before, so that one pass does for all
+        lift = int(own.max(initial=0)) + 1
+        found.append(np.maximum.accumulate(own + rows * lift) - rows * lift if len(own) else own)
+    null = hits.is_null()
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *found])), mask=null if null.true_count else None)
+
+
+Hits = tuple[list[int], list[int]]  # positions, lengths
+
+
+def by_document(f: Callable[[Sequence[Hits]], Hits], columns: pa.StructArray) -> pa.ListArray:
+    """``f`` of the lists that each row has in the fields; null where a list or the result is missing."""
+    slots = [columns.field(k) for k in range(columns.type.num_fields)]
+    there = np.ones(len(columns), bool)
+    for c in slots:
+        there &= c.is_valid().to_numpy(zero_copy_only=False)
+    split = [(offsets(c), c.values.field("pos").to_numpy(zero_copy_only=False), c.values.field("len").to_numpy(zero_copy_only=False)) for c in slots]
+    sizes, found = np.zeros(len(columns) + 1, np.int64), []
+    for begin, end in slices(sum(at for at, _, _ in split)):
+        pos, length = [], []
+        for k in (begin + np.flatnonzero(there[begin:end])).tolist():
+            p, n = f([(x[at[k] : at[k + 1]].tolist(), y[at[k] : at[k + 1]].tolist()) for at, x, y in split])
+            pos += p
+            length += n
+            sizes[k + 1] = len(p)
+        found.append((np.array(pos, np.int64), np.array(length, np.int64)))
+    values = [pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (zip(*found) if found else ([], []))]
+    hits = pa.StructArray.from_arrays(values, ["pos", "len"])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), hits, mask=pa.array(sizes[1:] == 0))

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import batches
 from .query import Adjacent, And, Expr, Near, Not, Or, Term
 
 HITS = "array<struct<pos:bigint,len:bigint>>"
@@ -36,15 +36,7 @@ def in_order(expr: Expr) -> bool:
 @F.arrow_udf(T.ArrayType(T.LongType()))
 def _largest_so_far(hits: pa.Array) -> pa.Array:
     """Of each hit, the largest position up to it."""
-    at = hits.offsets.to_numpy().astype(np.int64)
-    pos = hits.flatten().field("pos").to_numpy(zero_copy_only=False).astype(np.int64)
-    at = at - at[0]
-    rows = np.repeat(np.arange(len(hits)), np.diff(at))
-    # positions of later rows are lifted above those before, so that one pass does for all
-    lift = int(pos.max(initial=0)) + 1
-    out = np.maximum.accumulate(pos + rows * lift) - rows * lift if len(pos) else pos
-    null = hits.is_null()
-    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(out), mask=null) if null.true_count else pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(out))
+    return batches.largest_so_far(hits)
 
 
 def _merge(parts: list[Column], sorted_: list[bool]) -> Column:
@@ -106,21 +98,7 @@ def _by_document(f: Callable[[Sequence[tuple[list[int], list[int]]]], tuple[list
     """``f`` of each document's lists, in time in proportion to their length; null where a list or the result is missing."""
 
     def run(columns: pa.Array) -> pa.Array:
-        slots = [columns.field(k) for k in range(columns.type.num_fields)]
-        there = np.ones(len(columns), bool)
-        split = []
-        for c in slots:
-            there &= c.is_valid().to_numpy(zero_copy_only=False)
-            at, flat = c.offsets.to_numpy().tolist(), c.values
-            split.append((at, flat.field("pos").to_numpy(zero_copy_only=False), flat.field("len").to_numpy(zero_copy_only=False)))
-        sizes, pos, length = np.zeros(len(columns) + 1, np.int64), [], []
-        for k in np.flatnonzero(there).tolist():
-            p, n = f([(x[at[k] : at[k + 1]].tolist(), y[at[k] : at[k + 1]].tolist()) for at, x, y in split])
-            pos += p
-            length += n
-            sizes[k + 1] = len(p)
-        hits = pa.StructArray.from_arrays([pa.array(pos, pa.int64()), pa.array(length, pa.int64())], ["pos", "len"])
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), hits, mask=pa.array(sizes[1:] == 0))
+        return batches.by_document(f, columns)
 
     return F.arrow_udf(run, HITS)(F.struct(*[p.alias(f"p{k}") for k, p in enumerate(parts)]))
 

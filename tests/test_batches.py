@@ -11,6 +11,7 @@ from postingflow.functions import analysis
 from postingflow.operators import index as i
 from postingflow.operators import score
 from postingflow.operators import search as s
+from postingflow.plans import compile as c
 from postingflow.plans.query import Adjacent, And, Not, Or, Term, parse_query
 
 TEXTS = ["the a the b", "b b of the", "", None, "of the of the A", "c d"]
@@ -74,3 +75,30 @@ def test_terms_of_a_large_batch():
     assert sum(parts) == ROWS and most < 32 << 20
     first = next(analysis.by_term.func(iter([words])))
     assert {e["term"]: e["positions"] for e in first[1].as_py()} == {f"w{k}": list(range(k, LENGTH, 7)) for k in range(7)}
+
+
+def test_walks_of_a_large_batch(spark, monkeypatch):
+    """What is kept of the walks is two numbers a hit, no Python objects."""
+    monkeypatch.setattr(F, "arrow_udf", lambda f, kind: lambda column: f)
+    run = c._by_document(lambda x: c.walk(x, 4), [F.lit(0), F.lit(1)])
+    monkeypatch.undo()
+    at = lambda k: lists(pa.StructArray.from_arrays([pa.array(np.tile(np.arange(1000 + k, 1000 + 2 * LENGTH, 2), ROWS)), pa.array(np.ones(ROWS * LENGTH, np.int64))], ["pos", "len"]))
+    columns = pa.StructArray.from_arrays([at(0), at(1)], ["p0", "p1"])
+    few = columns[:700]
+    hits, most = peak(lambda: run(few))
+    assert hits[5].as_py() == [{"pos": 1000 + k, "len": 1} for k in range(2 * LENGTH)] and len(hits) == 700
+    assert most < 2.6 * 700 * 2 * LENGTH * 16
+
+
+def test_lists_over_slices(spark):
+    """Rows that are null, empty, or longer than a slice."""
+    from postingflow.functions import batches
+
+    rows = [None, [], [5, 1, 7], [], [2] * 9, None, [3, 1]]
+    hits = pa.array([None if r is None else [{"pos": p, "len": 1} for p in r] for r in rows], pa.list_(pa.struct([("pos", pa.int64()), ("len", pa.int64())])))
+    for most in (1, 4, 100):
+        assert [e - b for b, e in batches.slices(np.array([0, 0, 3, 3, 12, 12, 14]), most)] == {1: [1, 1, 1, 1, 1, 1], 4: [3, 1, 2], 100: [6]}[most]
+    assert list(batches.slices(np.array([0]))) == []
+    assert batches.largest_so_far(hits).to_pylist() == [None, [], [5, 5, 7], [], [2] * 9, None, [3, 3]]
+    assert batches.largest_so_far(hits[2:]).to_pylist() == [[5, 5, 7], [], [2] * 9, None, [3, 3]]
+    assert batches.largest_so_far(hits[:0]).to_pylist() == []
